@@ -14,8 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadmill.functions import vocab
-from leadmill.functions.text import blank_to_null, col, contains_any
-from leadmill.functions.urls import netloc_of, scheme_of
+from leadmill.functions.text import bind, blank_to_null, col, contains_any, trim_ws
+from leadmill.functions.urls import netloc_of
 
 # Inside of a tag up to its ">"; possessive, so long tags need no stack.
 _ATTRS = r"""(?:[^'">]+|"[^"]*"|'[^']*')*+>"""
@@ -49,9 +49,6 @@ _COMMON_ENTITIES = (
 )
 
 
-def trim_ws(c: Column | str) -> Column:
-    """Trim all Unicode white space."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
 def _code_point(n: Column) -> Column:
@@ -84,16 +81,22 @@ def _all_entities(text: Column) -> Column:
     return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
 
 
-def decode_entities(c: Column | str) -> Column:
-    text = col(c)
-    common = text
+def _decode(text: Column) -> Column:
     for entity, char in _COMMON_ENTITIES:
-        common = F.replace(common, F.lit(entity), F.lit(char))
-    rare = F.rlike(common, F.lit("&(?!amp;)(?:#[0-9xX]|[A-Za-z])[0-9A-Za-z]*;"))
-    return F.when(~F.contains(text, F.lit("&")), text).otherwise(
-        F.when(rare, _all_entities(common)).otherwise(
+        text = F.replace(text, F.lit(entity), F.lit(char))
+
+    def rest(common: Column) -> Column:
+        rare = F.rlike(common, F.lit("&(?!amp;)(?:#[0-9xX]|[A-Za-z])[0-9A-Za-z]*;"))
+        return F.when(rare, _all_entities(common)).otherwise(
             F.replace(common, F.lit("&amp;"), F.lit("&"))
         )
+
+    return bind(text, rest)
+
+
+def decode_entities(c: Column | str) -> Column:
+    return bind(
+        col(c), lambda t: F.when(F.contains(t, F.lit("&")), _decode(t)).otherwise(t)
     )
 
 
@@ -125,7 +128,8 @@ def _attr_value(value: Column) -> Column:
     return trim_ws(decode_entities(F.btrim(value, F.lit("\"'"))))
 
 
-def _href(tag: Column) -> Column:
+def first_href(tag: Column) -> Column:
+    """Target of the anchor a piece of markup starts with; '' if none."""
     return _attr_value(F.regexp_extract(tag, HREF_PATTERN, 1))
 
 
@@ -133,7 +137,7 @@ def page_links(html: Column | str, hidden_dropped: bool = False) -> Column:
     """Distinct anchor targets in page order."""
     markup = col(html) if hidden_dropped else drop_hidden(html)
     tags = F.regexp_extract_all(markup, F.lit(ANCHOR_TAG_PATTERN), F.lit(0))
-    return F.filter(F.array_distinct(F.transform(tags, _href)), lambda x: x != "")
+    return F.filter(F.array_distinct(F.transform(tags, first_href)), lambda x: x != "")
 
 
 def contact_links(html: Column | str, hidden_dropped: bool = False) -> Column:
@@ -150,7 +154,7 @@ def contact_links(html: Column | str, hidden_dropped: bool = False) -> Column:
         relative = F.startswith(href, F.lit("/")) | (netloc_of(href) == "")
         return (href != "") & ~outside & relative
 
-    return F.filter(F.array_distinct(F.transform(hits, _href)), same_site)
+    return F.filter(F.array_distinct(F.transform(hits, first_href)), same_site)
 
 
 def _title_case(word: Column) -> Column:
@@ -191,9 +195,3 @@ def is_challenge_page(text: Column | str) -> Column:
     text = F.coalesce(col(text), F.lit(""))
     return (text == "") | _hint(text, vocab.CHALLENGE_PHRASES)
 
-
-__all__ = [
-    "business_name", "contact_links", "decode_entities", "drop_hidden",
-    "is_challenge_page", "looks_contactable", "page_links", "scheme_of",
-    "strict_text", "trim_ws", "visible_text",
-]

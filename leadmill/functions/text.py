@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +15,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate *value* once and use it several times in *body*.
+
+    A column expression is a tree: using an expensive one three times runs it
+    three times.  A lambda variable is computed once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def empty_list() -> Column:
     return F.array().cast("array<string>")
 
@@ -46,6 +55,18 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
+# White space in the Unicode sense, for trimming.
+WHITE_SPACE = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def trim_ws(c: Column | str) -> Column:
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
+
+
 def percent_decode(c: Column | str, plus_is_space: bool = False) -> Column:
     """Percent-decode leniently: a broken escape stays as it is.
 

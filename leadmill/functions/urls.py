@@ -17,6 +17,7 @@ from leadmill.functions.text import (
     contains_any,
     ends_with_any,
     percent_decode,
+    trim_ws,
 )
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*:"
@@ -96,7 +97,7 @@ def to_site_root(url: Column | str) -> Column:
 
 
 def normalize_seed(url: Column | str) -> Column:
-    url = F.regexp_replace(F.coalesce(col(url), F.lit("")), r"(?U)^\s+|\s+$", "")
+    url = trim_ws(F.coalesce(col(url), F.lit("")))
     return (
         F.when(url == "", F.lit(None))
         .when(F.startswith(url, F.lit("http")), url)

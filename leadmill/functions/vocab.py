@@ -88,7 +88,7 @@ OBFUSCATED_EMAIL_PATTERN = (
     rf"(?:dot)\s*\)?\]?\s*(?:{'|'.join(OBFUSCATED_TLDS)})\b"
 )
 PHONE_PATTERN = (
-    r"(?U)(?:(?:\+?[0-9]{1,3}[\s.-]?)?\([0-9]{2,4}\)[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}"
+    r"(?U)(?=[+(0-9])(?:(?:\+?[0-9]{1,3}[\s.-]?)?\([0-9]{2,4}\)[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}"
     r"|(?:\+?[0-9]{1,3}[\s.-]?)?[0-9]{2,4}[\s.-]?[0-9]{3,4}[\s.-]?[0-9]{3,4})"
 )
 WHATSAPP_PATTERN = (
