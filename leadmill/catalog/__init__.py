@@ -1,0 +1,9 @@
+"""Registered queries, one per operator, with the SQL that checks each."""
+
+from leadmill.catalog.registry import ORACLES, QUERIES
+
+
+def load() -> tuple[dict, dict]:
+    from leadmill.catalog import scalars  # noqa: F401
+
+    return QUERIES, ORACLES

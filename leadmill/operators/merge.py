@@ -27,10 +27,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
 
 
 def top_n_per_key(
-    df: DataFrame, keys: list[str], order: list[Column | str], n: int, salts: int = 64
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column | str],
+    n: int,
+    pos: str | None = None,
+    salts: int = 64,
 ) -> DataFrame:
     """The first *n* rows of each key; *n* is the report size asked for.
 
+    *pos* keeps the position in a column of that name.
+
     For small *n* the optimizer already cuts each group before the shuffle.
     Beyond that a hot key is cut in salted pieces first, so no task ever sorts
     a whole hot group.
@@ -44,7 +51,10 @@ def top_n_per_key(
             .drop("_rn", "_salt")
         )
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    top = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    if pos:
+        return top.withColumn("_rn", F.col("_rn").cast("bigint")).withColumnRenamed("_rn", pos)
+    return top.drop("_rn")
 
 
 # -- URLs ---------------------------------------------------------------------

@@ -78,12 +78,15 @@ def rank_candidates(
     niches: Sequence[Niche] = vocab.NICHES,
     order: Sequence[str] = ("query", "rank"),
 ) -> DataFrame:
-    """Best candidates per niche, as many as the probe budget allows."""
+    """Best candidates per niche, as many as the probe budget allows.
+
+    ``probe_pos`` is the place of a candidate in its niche.
+    """
     scored = score_candidates(results, niches).filter(
         F.col("score") >= vocab.CANDIDATE_MIN_SCORE
     )
     return top_n_per_key(
-        scored, ["niche"], [F.desc("score"), *order], probe_budget(max_leads)
+        scored, ["niche"], [F.desc("score"), *order], probe_budget(max_leads), pos="probe_pos"
     )
 
 

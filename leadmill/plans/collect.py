@@ -120,8 +120,7 @@ def search_leads(
     if prior is not None:
         once = rank.skip_prior(once, prior)
     ranked = rank.rank_candidates(once, max_leads, niches)
-    probe = F.struct((-F.col("score")).alias("by"), "query", "rank")
-    sites = ranked.select("url", "niche", "query", probe.alias("seq"))
+    sites = ranked.select("url", "niche", "query", F.col("probe_pos").alias("seq"))
     found = page_contacts(sites, facts, lookups)
     made = build_leads(found, F.col("query"), now)
     return merge.top_n_per_key(made, ["niche"], ["seq"], max_leads)
@@ -148,14 +147,13 @@ def discover(
         .select("query", "niche", "rank", "u.url", "u.title")
     )
     cached = rank.clean_candidates(cached, deny_hosts)
-    verdict = rank.relevance(cached, ["query"], niches)
-    enough = verdict.filter("relevant").select("query")
+    # With a paid engine its answers settle a query, otherwise a cache on topic
+    # does; settled queries never look at the free engines.
     if paid is not None:
-        # A paid answer replaces the engines for the queries it covers.
-        answered = paid.select("query").distinct()
-        enough = enough.join(answered, "query", "left_semi").unionByName(answered).distinct()
-    # Queries a good cache (or the paid engine) settles never look at engines.
-    open_results = results.join(enough, "query", "left_anti")
+        settled = paid.select("query").distinct()
+    else:
+        settled = rank.relevance(cached, ["query"], niches).filter("relevant").select("query")
+    open_results = results.join(settled, "query", "left_anti")
     live = rank.first_engine(open_results, niches, deny_hosts).select(*cols)
     parts = cached.select(*cols, F.lit(0).alias("source_rank")).unionByName(
         live.select(*cols, F.lit(1).alias("source_rank"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leadmill import storage
 from leadmill.functions import leads, vocab
 from leadmill.functions.text import empty_list, join_list
-from leadmill.operators.merge import best_first, merge_leads, newest_best_first, place_of, with_quality
+from leadmill.operators.merge import best_first, merge_leads, newest_best_first, with_quality
 from leadmill.operators.views import purge
 from leadmill.sources.readers import read_leads
 
@@ -73,32 +73,42 @@ def envelope_header(df: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
+def _tie(df: DataFrame) -> str:
+    """Column that orders leads of equal score."""
+    return "first_seen" if "first_seen" in df.columns else "seq"
+
+
 def envelope_lines(df: DataFrame, now: Column | None = None) -> DataFrame:
     """The JSON envelope as ordered lines: opening, leads, closing.
 
-    Leads stream through as rows; no list of all leads is ever built.
-    ``part`` and ``place`` order the lines.
+    Leads stay rows; no list of all leads is ever built.  The columns ``part``,
+    ``by`` and ``place`` order the lines.  All leads but the first are written
+    with a comma before them.
     """
-    head = envelope_header(df, now).select(
-        F.lit(0).alias("part"),
-        F.lit(None).cast("int").alias("quality_score"),
-        F.lit(None).cast("struct<file:string,row:bigint>").alias("place"),
-        F.concat(
-            F.lit('{"generated_at": "'), "generated_at", F.lit('", "lead_count": '),
-            F.col("lead_count").cast("string"), F.lit(', "leads": ['),
-        ).alias("value"),
-    )
-    scored = with_quality(df)
-    rows = scored.select(
+    tie = _tie(df)
+    place = df.schema[tie].dataType
+    rows = with_quality(df).select(
         F.lit(1).alias("part"),
-        "quality_score",
-        place_of(df).alias("place"),
-        F.concat(F.to_json(nested_row(), {"ignoreNullFields": "false"})).alias("value"),
+        (-F.col("quality_score")).alias("by"),
+        F.col(tie).alias("place"),
+        F.to_json(nested_row(), {"ignoreNullFields": "false"}).alias("value"),
     )
-    last = df.sparkSession.range(1).select(
-        F.lit(2).alias("part"), F.lit(None).cast("int").alias("quality_score"),
-        F.lit(None).cast("struct<file:string,row:bigint>").alias("place"), F.lit("]}").alias("value"),
+
+    def frame(source: DataFrame, part: int, value: Column) -> DataFrame:
+        return source.select(
+            F.lit(part).alias("part"), F.lit(None).cast("int").alias("by"),
+            F.lit(None).cast(place).alias("place"), value.alias("value"),
+        )
+
+    opening = F.concat(
+        F.lit('{"generated_at": "'), "generated_at", F.lit('", "lead_count": '),
+        F.col("lead_count").cast("string"), F.lit(', "leads": ['),
     )
+    first = rows.agg(F.min(F.struct("by", "place"))).scalar()
+    comma = F.when(F.struct("by", "place") > first, F.lit(",")).otherwise(F.lit(""))
+    rows = rows.withColumn("value", F.concat(comma, "value"))
+    head = frame(envelope_header(df, now), 0, opening)
+    last = frame(df.sparkSession.range(1), 2, F.lit("]}"))
     return head.unionByName(rows).unionByName(last)
 
 
@@ -138,20 +148,15 @@ def write_json(df: DataFrame, path: str, now: Column | None = None, single_file:
     The envelope is one document and therefore one file: its lines are sorted
     by Spark and streamed out by one task.
     """
-    if not single_file:
-        _staged(df, path, lambda p: best_first(with_quality(df), "seq").select(nested_row().alias("l")).select("l.*").write.json(p))
-        header = envelope_header(df, now)
-        _staged(header, path + ".header", lambda p: header.coalesce(1).write.json(p))
+    if single_file:
+        text = envelope_lines(df, now).orderBy("part", "by", "place").select("value")
+        _staged(text, path, lambda p: text.coalesce(1).write.text(p))
         return
-    lines = envelope_lines(df, now)
-    last_lead = lines.filter("part = 1").agg(F.max(F.struct(-F.col("quality_score"), "place"))).scalar()
-    comma = F.when(
-        (F.col("part") == 1) & (F.struct(-F.col("quality_score"), "place") != last_lead), F.lit(",")
-    ).otherwise(F.lit(""))
-    text = lines.withColumn("value", F.concat("value", comma)).orderBy(
-        "part", F.desc("quality_score"), "place"
-    )
-    _staged(text, path, lambda p: text.select("value").coalesce(1).write.text(p))
+    ordered = best_first(with_quality(df), _tie(df))
+    rows = ordered.select(nested_row().alias("lead")).select("lead.*")
+    _staged(rows, path, lambda p: rows.write.json(p))
+    header = envelope_header(df, now)
+    _staged(header, path + ".header", lambda p: header.coalesce(1).write.json(p))
 
 
 def merged_export(
@@ -185,8 +190,7 @@ def export_leads(
     elif path.lower().endswith(".jsonl"):
         write_json(whole, path, now)
     else:
-        tie = "first_seen" if "first_seen" in whole.columns else "seq"
-        ordered = best_first(with_quality(whole), tie)
+        ordered = best_first(with_quality(whole), _tie(whole))
         write_csv(ordered.select(*[_value(c) for c in vocab.EXPORT_COLUMNS]), path, single_file)
 
 
