@@ -118,6 +118,9 @@ SELECT {seq} AS seq,
 FROM fx_base"""
 
 
+# A query holds the results of 140 neighbouring customers of one niche, about
+# four per engine, whatever the size of the table.
+_BLOCK = "CAST(floor(k / 140) AS BIGINT)"
 _QUERY = "niche || ' q' || CAST({} AS STRING)"
 _RESULT_URL = f"""CASE WHEN k % 29 = 0 THEN 'https://shop.zillow.com/x' || {K}
     WHEN k % 41 = 0 THEN 'https://' || h || '/price.pdf'
@@ -126,18 +129,18 @@ _RESULT_URL = f"""CASE WHEN k % 29 = 0 THEN 'https://shop.zillow.com/x' || {K}
     WHEN k % 3 = 1 THEN 'https://' || h || '/blog/p' || {K}
     ELSE 'https://www.' || h || '/contact' END"""
 _RESULT_TITLE = f"""CASE WHEN k % 43 = 0 THEN 'Microsoft Partner ' || {K}
-    WHEN k % 7 = 0 AND k % 2 = 1 THEN 'Football club ' || {K}
+    WHEN k % 7 = 0 AND {_BLOCK} % 2 = 1 THEN 'Football club ' || {K}
     WHEN k % 10 = 9 THEN 'Sign in - Biz ' || {G}
     WHEN k % 10 = 8 THEN 'Latest news and lyrics download'
     ELSE 'Biz ' || {G} || ' ' || word END"""
 
 _SERP = f"""
-SELECT {_QUERY.format('k % 4')} AS query, niche, k % 7 AS engine_pos, k AS rank,
+SELECT {_QUERY.format(_BLOCK)} AS query, niche, k % 7 AS engine_pos, k AS rank,
   {_RESULT_URL} AS url, {_RESULT_TITLE} AS title
 FROM fx_base"""
 
 _CACHE = f"""
-SELECT {_QUERY.format('k % 50')} AS query, niche, (k % 50) * 8 AS hours_ago, k AS rank,
+SELECT {_QUERY.format(_BLOCK)} AS query, niche, ({_BLOCK} % 10) * 40 AS hours_ago, k AS rank,
   {_RESULT_URL} AS url,
   CASE WHEN k % 12 = 5 THEN '' ELSE {_RESULT_TITLE} END AS title
 FROM fx_base"""

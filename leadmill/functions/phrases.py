@@ -106,11 +106,11 @@ def has_exclusion(lowered, niche, niches: Sequence[Niche] = vocab.NICHES) -> Col
     )
 
 
-def phrase_hits(lowered: Column | str, phrases: Sequence[str], points: int) -> Column:
-    """Points for every phrase present (each counts, also inside another)."""
-    total = F.lit(0)
-    for p in phrases:
-        total = total + F.when(F.contains(col(lowered), F.lit(p)), F.lit(points)).otherwise(
-            F.lit(0)
-        )
-    return total
+def hits(lowered: Column | str, phrases: Column) -> Column:
+    """How many of an array of phrases a text holds (each counts, also inside
+    another).  One loop over a literal array keeps the generated code small."""
+    return F.size(F.filter(phrases, lambda p: F.contains(col(lowered), p)))
+
+
+def phrase_list(phrases: Sequence[str]) -> Column:
+    return F.array(*[F.lit(p) for p in phrases]).cast("array<string>")

@@ -1,0 +1,16 @@
+"""Keeping an expensive projection from being evaluated again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keep later filters from re-running the expressions behind *df*.
+
+    A filter on a computed column is pushed below the projection with a copy
+    of its expression, so a page would be parsed again for every predicate.  A
+    filter cannot pass the generator that makes the columns.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import contacts, urls, vocab
-from leadmill.functions.text import empty_list
+from leadmill.functions.text import empty_list, sorted_set
 from leadmill.operators.gate import facts_reason
 from leadmill.operators.merge import first_per_key
 
@@ -117,7 +117,8 @@ def contact_walk(steps: DataFrame) -> DataFrame:
         *SITE,
         F.size("state.kept").alias("n_used"),
         *[
-            F.array_sort(F.array_distinct(F.flatten(F.transform("used", lambda s, c=c: s[c])))).alias(c)
+            # A field of an array of structs is the array of that field.
+            sorted_set(F.flatten(F.col(f"used.{c}"))).alias(c)
             for c in vocab.CONTACT_LISTS
         ],
     )

@@ -88,14 +88,15 @@ def contact_values(df: DataFrame, key: str) -> DataFrame:
     This is the form to keep for sites without a size bound.  Repeats collapse
     inside each task before anything is shuffled.
     """
-    values = [
-        F.transform(
+
+    def tagged(c: str) -> Column:
+        return F.transform(
             F.coalesce(F.col(c), empty_list()),
-            lambda v, c=c: F.struct(F.lit(c).alias("kind"), v.alias("value")),
+            lambda v: F.struct(F.lit(c).alias("kind"), v.alias("value")),
         )
-        for c in vocab.CONTACT_LISTS
-    ]
-    return df.select(key, F.inline(F.concat(*values))).distinct()
+
+    values = F.concat(*[tagged(c) for c in vocab.CONTACT_LISTS])
+    return df.select(key, F.inline(values)).distinct()
 
 
 def contact_counts(df: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import contacts, html, phrases, vocab
 from leadmill.functions.vocab import Niche
+from leadmill.operators.barrier import computed_once
 
 
 def with_text(pages: DataFrame) -> DataFrame:
@@ -33,16 +34,6 @@ def with_text(pages: DataFrame) -> DataFrame:
     )
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """Keep later filters from re-running the expressions behind *df*.
-
-    A filter on a computed column is pushed below the projection with a copy
-    of its expression, so a page would be parsed again for every predicate.  A
-    filter cannot pass the generator that makes the columns.
-    """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def page_facts(pages: DataFrame, niches: Sequence[Niche] = vocab.NICHES) -> DataFrame:
     """Everything later steps need from a page, without its text or markup.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadmill.functions import phrases, urls, vocab
 from leadmill.functions.vocab import Niche
 from leadmill.operators import deny
+from leadmill.operators.barrier import computed_once
 from leadmill.operators.merge import first_per_key, top_n_per_key
 
 
@@ -51,16 +52,19 @@ def relevance(
 
 def candidate_score(niches: Sequence[Niche] = vocab.NICHES) -> Column:
     """Relevance of one result to its niche; expects ``hay, url, title, niche``."""
-    words = phrases.by_niche(
-        "niche",
-        niches,
-        lambda n: phrases.phrase_hits("hay", n.scope_keywords, 2)
-        + phrases.phrase_hits("hay", n.exclusion_keywords, -4),
-        F.lit(0),
-    )
-    junk = phrases.phrase_hits("hay", vocab.JUNK_TITLE_PHRASES, -3)
+
+    def of_niche(pick) -> Column:
+        return phrases.by_niche(
+            "niche", niches, lambda n: phrases.phrase_list(pick(n)), phrases.phrase_list([])
+        )
+
+    scope = phrases.hits("hay", of_niche(lambda n: n.scope_keywords))
+    exclusion = phrases.hits("hay", of_niche(lambda n: n.exclusion_keywords))
+    junk = phrases.hits("hay", phrases.phrase_list(vocab.JUNK_TITLE_PHRASES))
     shallow = F.when(urls.path_depth("url") <= 1, F.lit(1)).otherwise(F.lit(0))
-    return F.when(phrases.name_denied("title"), F.lit(-100)).otherwise(words + junk + shallow)
+    return F.when(phrases.name_denied("title"), F.lit(-100)).otherwise(
+        scope * 2 - exclusion * 4 - junk * 3 + shallow
+    )
 
 
 def score_candidates(results: DataFrame, niches: Sequence[Niche] = vocab.NICHES) -> DataFrame:
@@ -82,7 +86,7 @@ def rank_candidates(
 
     ``probe_pos`` is the place of a candidate in its niche.
     """
-    scored = score_candidates(results, niches).filter(
+    scored = computed_once(score_candidates(results, niches)).filter(
         F.col("score") >= vocab.CANDIDATE_MIN_SCORE
     )
     return top_n_per_key(

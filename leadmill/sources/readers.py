@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,7 +116,7 @@ def _csv_rows(spark: SparkSession, paths: str | list[str], multi_line: bool) ->
         else F.lit(None).cast("string").alias(c)
         for c in wanted
     ]
-    return raw.select(*cols, place.alias("seq"), F.col("_metadata.file_modification_time").alias("modified"))
+    return raw.select(*cols, place.alias("seq"))
 
 
 def read_lead_csv(
@@ -207,8 +208,8 @@ def _view_defaults(df: DataFrame) -> DataFrame:
     )
 
 
-def _lenient_json(spark: SparkSession, paths: list[str]) -> DataFrame:
-    docs = spark.read.option("wholetext", True).text(paths)
+def _lenient_json(spark: SparkSession, path: str, one_per_line: bool) -> DataFrame:
+    docs = spark.read.option("wholetext", not one_per_line).text(path)
     doc = F.try_parse_json("value")
     items = F.coalesce(
         F.try_variant_get(doc, "$.leads", "array<variant>"),
@@ -216,8 +217,8 @@ def _lenient_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
     rows = docs.select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-        F.posexplode(items).alias("row", "item"),
+        F.monotonically_increasing_id().alias("doc"),
+        F.posexplode(items).alias("pos", "item"),
     ).filter(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
 
     def get(name: str, kind: str = "string") -> Column:
@@ -240,45 +241,46 @@ def _lenient_json(spark: SparkSession, paths: list[str]) -> DataFrame:
         get("quality_label").alias("stored_label"),
         F.when(is_text, get("quality_score").try_cast("int")).otherwise(number.cast("int")).alias("stored_score"),
         F.when(is_text, get("quality_score") != "").otherwise(F.coalesce(number, F.lit(0.0)) != 0).alias("has_score"),
-        F.struct("file", F.col("row").cast("bigint").alias("row")).alias("seq"),
-        "modified",
+        F.struct("file", F.col("doc").alias("row"), "pos").alias("seq"),
     )
 
 
-def _lenient_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    rows = _csv_rows(spark, paths, multi_line=True)
+def _lenient_csv(spark: SparkSession, path: str) -> DataFrame:
+    rows = _csv_rows(spark, path, multi_line=True)
     lists = {c: list_or_text(F.coalesce(c, F.lit(""))) for c in vocab.CONTACT_LISTS}
     return (
         rows.withColumns(lists)
         .withColumn("stored_label", F.col("quality_label"))
         .withColumn("stored_score", F.col("quality_score").try_cast("int"))
         .withColumn("has_score", F.coalesce("quality_score", F.lit("")) != "")
+        .withColumn("seq", F.struct("seq.file", "seq.row", F.lit(0).alias("pos")))
         .drop("quality_label", "quality_score")
     )
 
 
-def read_lead_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_lead_files(
+    spark: SparkSession, paths: Sequence[str], json_per_line: bool = False
+) -> DataFrame:
     """Every given lead file in one table, ready for `merge_lead_files`.
 
     Missing and empty files are skipped.  Lists may be arrays or joined text;
-    JSON may be an envelope or a bare array.  ``age`` orders newest first.
+    JSON may be an envelope or a bare array, one per file (or per line, which
+    lets Spark split the file).  ``age`` is the rank of a file, newest first.
     """
-    present = [p for p in paths if (storage.file_stats(spark, p) or (0, 0))[1] > 0]
-    json_paths = [p for p in present if p.lower().endswith(".json")]
-    csv_paths = [p for p in present if not p.lower().endswith(".json")]
+    stats = {p: storage.file_stats(spark, p) for p in dict.fromkeys(paths)}
+    present = [p for p, st in stats.items() if st and st[1] > 0]
+    present.sort(key=lambda p: stats[p][0], reverse=True)
     parts = []
-    if json_paths:
-        parts.append(_lenient_json(spark, json_paths))
-    # Files may have different headers, so each CSV is read on its own.
-    parts += [_lenient_csv(spark, [p]) for p in csv_paths]
+    for age, path in enumerate(present):
+        if path.lower().endswith(".json"):
+            part = _lenient_json(spark, path, json_per_line)
+        else:
+            part = _lenient_csv(spark, path)
+        parts.append(part.withColumn("age", F.lit(age)))
     if not parts:
-        out = _view_defaults(empty_leads(spark)).withColumn("age", F.lit(0).cast("bigint"))
+        out = _view_defaults(empty_leads(spark)).withColumn("age", F.lit(0))
         return out.withColumns({"quality_score": F.lit(0), "quality_label": F.lit("low")})
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    scored = _with_view_score(_view_defaults(whole))
-    return scored.withColumn("age", -F.unix_micros("modified")).drop("modified")
+    return _with_view_score(_view_defaults(reduce(DataFrame.unionByName, parts)))
 
 
 # -- search cache -------------------------------------------------------------

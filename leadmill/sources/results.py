@@ -8,6 +8,7 @@ cut there, and the anchor is taken from each piece.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,9 +105,7 @@ def html_results(captures: DataFrame, keys: list[str], limit: int | None = None)
     marked = captures.withColumn("_page", page)
     found = None
     for rule in ENGINES:
-        one = F.transform(
-            _blocks(rule, F.col("_page")), lambda b, rule=rule: _result(rule, b)
-        )
+        one = F.transform(_blocks(rule, F.col("_page")), partial(_result, rule))
         test = F.col("engine") == rule.engine
         found = F.when(test, one) if found is None else found.when(test, one)
     rows = marked.select(*keys, "engine", F.posexplode(found).alias("rank", "r"))
