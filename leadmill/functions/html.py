@@ -58,9 +58,10 @@ def _code_point(n: Column) -> Column:
 
 
 def _all_entities(text: Column) -> Column:
-    names = F.create_map(
-        *[F.lit(x) for name, cp in name2codepoint.items() for x in (name, chr(cp))]
-    )
+    # One constant the optimizer folds; a map built entry by entry would cost
+    # hundreds of calls to the JVM for every use.
+    table = "\u0002".join(f"{name}\u0001{chr(cp)}" for name, cp in name2codepoint.items())
+    names = F.str_to_map(F.lit(table), F.lit("\u0002"), F.lit("\u0001"))
     pieces = F.split(text, "&")
 
     def one(piece: Column) -> Column:

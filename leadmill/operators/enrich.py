@@ -39,9 +39,10 @@ def frontier_urls(url: Column | str, found: Column | str) -> Column:
 def contact_frontier(sites: DataFrame) -> DataFrame:
     """``url, niche, pos, sub_url`` for sites that show a way to get in touch."""
     open_sites = sites.filter((F.size("contact_links") > 0) | F.col("is_contactable"))
+    # The outer form keeps the optimizer from building the list twice.
     return open_sites.select(
-        *SITE, F.posexplode(frontier_urls("url", "contact_links")).alias("pos", "sub_url")
-    )
+        *SITE, F.posexplode_outer(frontier_urls("url", "contact_links")).alias("pos", "sub_url")
+    ).filter("sub_url IS NOT NULL")
 
 
 def walk_steps(frontier: DataFrame, facts: DataFrame) -> DataFrame:

@@ -75,4 +75,5 @@ def page_niches(
     """
     low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     ids = phrases.scope_ids("_low", niches)
-    return low.withColumn("niche", F.explode(ids)).drop("_low")
+    # The outer form keeps the optimizer from testing every page twice.
+    return low.withColumn("niche", F.explode_outer(ids)).filter("niche IS NOT NULL").drop("_low")

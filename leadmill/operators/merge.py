@@ -96,7 +96,8 @@ def contact_values(df: DataFrame, key: str) -> DataFrame:
         )
 
     values = F.concat(*[tagged(c) for c in vocab.CONTACT_LISTS])
-    return df.select(key, F.inline(values)).distinct()
+    # The outer form keeps the optimizer from building the values twice.
+    return df.select(key, F.inline_outer(values)).filter("value IS NOT NULL").distinct()
 
 
 def contact_counts(df: DataFrame, key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import html, urls
-from leadmill.functions.text import blank_to_null, trim_ws
+from leadmill.functions.text import bind, blank_to_null, trim_ws
 from leadmill.operators.merge import first_per_key
 
 
@@ -84,16 +84,21 @@ def _blocks(rule: EngineMarkup, page: Column) -> Column:
 
 
 def _result(rule: EngineMarkup, block: Column) -> Column:
-    anchor = F.coalesce(
+    first = F.coalesce(
         *[blank_to_null(F.regexp_extract(block, p, g)) for p, g in rule.anchors], F.lit("")
     )
-    href = html.first_href(anchor)
-    title = html.visible_text(anchor, hidden_dropped=True)
-    if rule.snippet:
-        said = html.visible_text(F.regexp_extract(block, rule.snippet, 1), hidden_dropped=True)
-        title = F.coalesce(blank_to_null(title), said)
-    url = urls.UNWRAP[rule.unwrap](href) if rule.unwrap else href
-    return F.struct(url.alias("url"), title.alias("title"))
+
+    def read(anchor: Column) -> Column:
+        title = html.visible_text(anchor, hidden_dropped=True)
+        if rule.snippet:
+            said = html.visible_text(F.regexp_extract(block, rule.snippet, 1), hidden_dropped=True)
+            title = bind(title, lambda t: F.coalesce(blank_to_null(t), said))
+        url = html.first_href(anchor)
+        if rule.unwrap:
+            url = bind(url, urls.UNWRAP[rule.unwrap])
+        return F.struct(url.alias("url"), title.alias("title"))
+
+    return bind(first, read)
 
 
 def html_results(captures: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
@@ -108,11 +113,16 @@ def html_results(captures: DataFrame, keys: list[str], limit: int | None = None)
         one = F.transform(_blocks(rule, F.col("_page")), partial(_result, rule))
         test = F.col("engine") == rule.engine
         found = F.when(test, one) if found is None else found.when(test, one)
-    rows = marked.select(*keys, "engine", F.posexplode(found).alias("rank", "r"))
+    rows = marked.select(*keys, "engine", F.posexplode_outer(found).alias("rank", "r"))
     return _organic(rows.select(*keys, "engine", "rank", "r.url", "r.title"), [*keys, "engine"], limit)
 
 
 def _organic(rows: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+    """Keep http results, the first of each URL.
+
+    The results were exploded with the outer form: the plain one makes the
+    optimizer test the array for emptiness first and so build it twice.
+    """
     kept = first_per_key(rows.filter(F.startswith("url", F.lit("http"))), [*keys, "url"], ["rank"])
     if limit is None:
         return kept
@@ -126,7 +136,7 @@ def json_results(captures: DataFrame, keys: list[str], body: str = "body") -> Da
     doc = F.from_json(
         F.col(body), "organic_results array<struct<link:string,title:string>>"
     )
-    rows = captures.select(*keys, F.posexplode(doc["organic_results"]).alias("rank", "r"))
+    rows = captures.select(*keys, F.posexplode_outer(doc["organic_results"]).alias("rank", "r"))
     clean = rows.select(
         *keys,
         "rank",
@@ -139,7 +149,7 @@ def json_results(captures: DataFrame, keys: list[str], body: str = "body") -> Da
 def rss_results(captures: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """Results of an RSS capture: every ``item`` with its title and link."""
     items = F.regexp_extract_all(F.col(body), F.lit(r"(?is)<item\b[^>]*>.*?</item\s*>"), F.lit(0))
-    rows = captures.select(*keys, F.posexplode(items).alias("rank", "item"))
+    rows = captures.select(*keys, F.posexplode_outer(items).alias("rank", "item"))
     parsed = rows.withColumn("r", F.from_xml("item", "title string, link string"))
     clean = parsed.select(
         *keys,
