@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import vocab
 from leadmill.functions.text import split_list
+from leadmill.operators.reuse import computed_once
 
 CLOCK = "2024-06-01 00:00:00"
 # "hello@bizmail.com" XOR 0x42 behind its key byte.
@@ -319,7 +320,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     needs, sql = TABLES[name]
     for need in needs:
         table(spark, sf_dir, need).createOrReplaceTempView(need)
-    return spark.sql(sql.replace("@B64@", _B64["spark"]))
+    # Stands for a stored table: later filters see columns, not these formulas.
+    return computed_once(spark.sql(sql.replace("@B64@", _B64["spark"])))
 
 
 def leads_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

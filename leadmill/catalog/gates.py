@@ -219,7 +219,7 @@ def lead_band(spark, sf):
 )
 def email_verify(spark, sf):
     """Lenient (unknown domains kept) and strict check side by side."""
-    df = leads_table(spark, sf, "fx_leads").select("seq", "emails")
+    df = leads_table(spark, sf, "fx_leads").select("seq", "website", "emails")
     mx = table(spark, sf, "fx_mx")
     lenient = enrich.verify_emails(df, mx, ["seq"])
     strict = enrich.verify_emails(df, mx, ["seq"], strict=True)

@@ -65,7 +65,7 @@ def _frontier(source: str) -> str:
 
 
 _STEPS = f"""steps AS MATERIALIZED (SELECT r.url, r.niche, r.pos, r.sub_url, f.url IS NOT NULL AS present,
-  coalesce(f.html = '', true) AS is_empty, coalesce({d.reason('f.low', 'r.niche')} IS NULL, false) AS accepted,
+  coalesce(f.html = '', true) AS is_empty, f.url IS NOT NULL AND {d.reason('f.low', 'r.niche')} IS NULL AS accepted,
   {d.uniq('list_concat(f.emails, f.mailto)')} AS emails, f.whatsapp_numbers, f.instagram_handles, f.linkedin_urls,
   f.phones FROM frontier r LEFT JOIN facts f ON r.sub_url = f.url),
 flags AS MATERIALIZED (SELECT *, present AND NOT is_empty AND accepted AND
@@ -178,13 +178,8 @@ def contact_frontier(spark, sf):
 
 
 def _bare(spark, sf, facts):
-    from leadmill.functions import phrases
-    from leadmill.operators.gate import facts_reason
-
-    sites = collect.seed_sites(seeds_of(spark, sf)).join(facts, "url")
-    kept = sites.filter(~F.col("is_empty") & facts_reason("niche").isNull())
-    kept = kept.filter(~phrases.name_denied("business_name"))
-    return kept.filter(F.size("emails") == 0).select("url", "niche", "contact_links", "is_contactable")
+    kept = collect.gated_sites(collect.seed_sites(seeds_of(spark, sf)), facts)
+    return kept.filter(F.size("emails") == 0)
 
 
 @query(

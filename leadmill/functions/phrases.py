@@ -110,7 +110,3 @@ def hits(lowered: Column | str, phrases: Column) -> Column:
     """How many of an array of phrases a text holds (each counts, also inside
     another).  One loop over a literal array keeps the generated code small."""
     return F.size(F.filter(phrases, lambda p: F.contains(col(lowered), p)))
-
-
-def phrase_list(phrases: Sequence[str]) -> Column:
-    return F.array(*[F.lit(p) for p in phrases]).cast("array<string>")

@@ -34,16 +34,28 @@ def shortest(phrases: Sequence[str]) -> list[str]:
     return [p for p in phrases if not any(q != p and q in p for q in phrases)]
 
 
+def phrase_array(phrases: Sequence[str]) -> Column:
+    """A constant array of phrases; the optimizer folds it to a literal."""
+    if not phrases:
+        return empty_list()
+    return F.split(F.lit("\u0001".join(phrases)), "\u0001")
+
+
 def contains_any(lowered: Column | str, phrases: Sequence[str]) -> Column:
     """True when the text holds any phrase.
 
-    An OR of plain substring searches stops at the first hit and runs at
-    memory speed; a regex alternation of the same phrases tries every branch
-    at every character.
+    Plain substring searches that stop at the first hit run at memory speed; a
+    regex alternation of the same phrases tries every branch at every
+    character.  Long lists are one loop over a literal array, which keeps
+    plans and generated code small.
     """
     text = col(lowered)
-    tests = [F.contains(text, F.lit(p)) for p in shortest(phrases)]
-    return F.coalesce(reduce(Column.__or__, tests), F.lit(False))
+    few = shortest(phrases)
+    if len(few) > 12:
+        found = F.exists(phrase_array(few), lambda p: F.contains(text, p))
+    else:
+        found = reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in few])
+    return F.coalesce(found, F.lit(False))
 
 
 def ends_with_any(text: Column | str, endings: Sequence[str]) -> Column:

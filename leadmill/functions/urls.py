@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import vocab
 from leadmill.functions.text import (
+    bind,
     blank_to_null,
     col,
     contains_any,
@@ -55,12 +56,12 @@ def host_of(url: Column | str) -> Column:
 def host_key(url: Column | str) -> Column:
     """Key two sites are the same by: the host, else the raw text."""
     raw = F.coalesce(col(url), F.lit(""))
-    return F.coalesce(blank_to_null(host_of(raw)), F.lower(raw))
+    return bind(host_of(raw), lambda h: F.when(h != "", h).otherwise(F.lower(raw)))
 
 
 def domain_of(url: Column | str) -> Column:
     """Host or NULL."""
-    return blank_to_null(host_of(url))
+    return bind(host_of(url), blank_to_null)
 
 
 def normalize_domain(url: Column | str) -> Column:
@@ -147,52 +148,49 @@ def host_suffixes(host: Column | str) -> Column:
 # -- relative references ----------------------------------------------------
 
 
-def _drop_dots(segments: Column) -> Column:
-    """Resolve ``.`` and ``..`` in a list of path segments."""
-    walked = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        )
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    last = F.element_at(segments, -1)
-    return F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+def _drop_dots(path: Column) -> Column:
+    """Resolve ``.`` and ``..`` in an absolute path."""
+    start = F.array().cast("array<string>")
+
+    def step(done: Column, s: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(s == "..", up).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+
+    folded = F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")
+    # A path that ends in a dot segment names a folder.
+    slash = F.when(F.rlike(path, F.lit(r"/\.\.?$")), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.regexp_replace(F.concat(folded, slash), "^/", ""))
 
 
 def url_join(base: Column | str, href: Column | str) -> Column:
-    """Resolve a link against the page it stands on (RFC 3986)."""
+    """Resolve a link against the page it stands on (RFC 3986).
+
+    Most links are absolute or plain ``/path``; dot segments are only folded
+    where a link has them.
+    """
     base, href = col(base), col(href)
-    scheme, netloc = scheme_of(base), netloc_of(base)
+    scheme = scheme_of(base)
     base_path = F.regexp_extract(base, PATH_PATTERN, 1)
-    site = F.concat(scheme, F.lit("://"), netloc)
+    site = F.concat(scheme, F.lit("://"), netloc_of(base))
+    tail = F.regexp_replace(F.regexp_extract(href, "^[^?#]*(.*)$", 1), "\\??#?$", "")
 
-    path = F.regexp_extract(href, "^([^?#]*)", 1)
-    tail = F.regexp_extract(href, "^[^?#]*(.*)$", 1)
-    tail = F.regexp_replace(F.regexp_replace(tail, "#$", ""), "\\?$", "")
+    def merged(path: Column) -> Column:
+        folder = F.regexp_replace(base_path, "[^/]*$", "")
+        joined = F.regexp_replace(F.concat(F.lit("/"), folder, path), "/{2,}", "/")
+        return F.when(F.startswith(path, F.lit("/")), path).otherwise(joined)
 
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    merged = F.concat(
-        F.when(folder == "", F.lit("/")).otherwise(folder), path
-    )
-    merged = F.regexp_replace(merged, "/{2,}", "/")
-    target = F.when(F.startswith(path, F.lit("/")), path).otherwise(merged)
-    resolved = F.array_join(_drop_dots(F.split(target, "/")), "/")
-    resolved = F.when(F.startswith(resolved, F.lit("/")), resolved).otherwise(
-        F.concat(F.lit("/"), resolved)
-    )
+    def resolved(path: Column) -> Column:
+        dotted = F.rlike(path, F.lit(r"/\.\.?(?:/|$)"))
+        return F.when(dotted, _drop_dots(path)).otherwise(path)
+
+    target = bind(bind(F.regexp_extract(href, "^([^?#]*)", 1), merged), resolved)
     return (
         F.when(href == "", base)
-        .when(F.regexp_extract(href, SCHEME_PATTERN, 1) != "", href)
+        .when(F.rlike(href, F.lit(SCHEME_PATTERN)), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(
-            F.startswith(href, F.lit("#")),
-            F.concat(F.regexp_replace(base, "#.*$", ""), tail),
-        )
-        .when(path == "", F.concat(site, base_path, tail))
-        .otherwise(F.concat(site, resolved, tail))
+        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), tail))
+        .when(F.startswith(href, F.lit("?")), F.concat(site, base_path, tail))
+        .otherwise(F.concat(site, target, tail))
     )
 
 

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.functions import contacts, urls, vocab
+from leadmill.functions import contacts, phrases, urls, vocab
 from leadmill.functions.text import empty_list, sorted_set
 from leadmill.operators.gate import facts_reason
-from leadmill.operators.merge import first_per_key
 
 SITE = ["url", "niche"]
 
@@ -48,21 +47,39 @@ def contact_frontier(sites: DataFrame) -> DataFrame:
 def walk_steps(frontier: DataFrame, facts: DataFrame) -> DataFrame:
     """Frontier with what the stored crawl knows of each sub-page.
 
-    *facts* must hold one row per URL.
+    The crawl is joined from its own side: a frontier that fits a broadcast
+    leaves the facts where they are, and only the few matched rows are put
+    back beside the frontier.  Several captures of a URL give one step.
     """
-    sub = facts.drop("contact_links", "is_contactable", "business_name").withColumnRenamed(
-        "url", "sub_url"
+    seen = facts.select(
+        F.col("url").alias("sub_url"),
+        F.struct(
+            "final_url",
+            "is_empty",
+            F.array_sort(F.array_union("emails", "mailto_emails")).alias("emails"),
+            *[c for c in vocab.CONTACT_LISTS if c != "emails"],
+            "scope_ids",
+            "excluded_ids",
+            *[f"is_{name}" for name in phrases.PAGE_FLAGS],
+        ).alias("page"),
     )
-    return frontier.join(sub, "sub_url", "left").select(
+    matched = (
+        frontier.join(seen, "sub_url")
+        .groupBy(*SITE, "pos")
+        .agg(F.min("page").alias("page"))
+    )
+    steps = frontier.join(matched, [*SITE, "pos"], "left").select(
+        *SITE, "pos", "sub_url", F.col("page").isNotNull().alias("present"), "page.*"
+    )
+    return steps.select(
         *SITE,
         "pos",
         "sub_url",
-        F.col("final_url").isNotNull().alias("present"),
+        "present",
         "final_url",
         F.coalesce("is_empty", F.lit(True)).alias("is_empty"),
-        facts_reason("niche").isNull().alias("accepted"),
-        F.array_sort(F.array_union("emails", "mailto_emails")).alias("emails"),
-        *[c for c in vocab.CONTACT_LISTS if c != "emails"],
+        (F.col("present") & facts_reason("niche").isNull()).alias("accepted"),
+        *vocab.CONTACT_LISTS,
     )
 
 
@@ -126,16 +143,20 @@ def contact_walk(steps: DataFrame) -> DataFrame:
 
 
 def add_subpages(sites: DataFrame, facts: DataFrame) -> DataFrame:
-    """Fill sites without an e-mail from their contact sub-pages."""
+    """Fill sites without an e-mail from their contact sub-pages.
+
+    Sites that have one pass through untouched; *sites* is read twice and is
+    best a stored table.
+    """
     bare = sites.filter(F.size("emails") == 0)
     extra = contact_walk(walk_steps(contact_frontier(bare), facts)).drop("n_used")
     extra = extra.withColumnsRenamed({c: f"sub_{c}" for c in vocab.CONTACT_LISTS})
-    joined = sites.join(extra, SITE, "left")
     merged = {
         c: F.array_sort(F.array_union(c, F.coalesce(f"sub_{c}", empty_list())))
         for c in vocab.CONTACT_LISTS
     }
-    return joined.withColumns(merged).drop(*[f"sub_{c}" for c in vocab.CONTACT_LISTS])
+    filled = bare.join(extra, SITE, "left").withColumns(merged).select(*sites.columns)
+    return sites.filter(F.size("emails") > 0).unionByName(filled)
 
 
 # -- social profiles ----------------------------------------------------------
@@ -189,41 +210,39 @@ def fill_social(sites: DataFrame, hits: DataFrame) -> DataFrame:
 # -- e-mail checks ------------------------------------------------------------
 
 
-def check_emails(emails: DataFrame, mx: DataFrame, strict: bool = False) -> DataFrame:
-    """Keep deliverable addresses of a long table with an ``email`` column.
-
-    *mx*: ``domain, has_mx`` with one row per domain; a missing or NULL entry
-    is unknown, which only *strict* rejects.
-    """
-    checked = (
-        emails.withColumn("domain", contacts.email_domain("email"))
-        .filter(~F.col("domain").isin(*vocab.DISPOSABLE_EMAIL_DOMAINS))
-        .join(mx.select("domain", "has_mx"), "domain", "left")
-    )
-    unknown = F.lit(not strict)
-    return checked.filter(F.coalesce("has_mx", unknown)).drop("domain", "has_mx")
-
-
 def verify_emails(
     sites: DataFrame, mx: DataFrame, keys: list[str] | None = None, strict: bool = False
 ) -> DataFrame:
     """Drop undeliverable addresses from the ``emails`` list of each row.
 
-    A domain shared by many sites (a mail provider) is a hot join key; the
-    lookup side is unique per domain, so skew splitting applies.
+    *mx*: ``domain, has_mx`` with one row per domain; a missing or NULL entry
+    is unknown, which only *strict* rejects.  Each address carries its row
+    along, so the sites are read once.  A domain shared by many sites (a mail
+    provider) is a hot join key; the lookup side is unique per domain, so
+    skew splitting applies.  Sites without an address take no part.
     """
     keys = keys or SITE
-    long = sites.select(*keys, F.explode("emails").alias("email"))
+    rest = [c for c in sites.columns if c not in keys and c != "emails"]
+    # Rows without an address get a key of their own that matches nothing.
+    domain = F.coalesce(contacts.email_domain("email"), F.concat(F.lit("\u0000"), *keys))
+    long = sites.select(
+        *keys, F.struct(*rest).alias("_rest"), F.explode_outer("emails").alias("email")
+    ).withColumn("_domain", domain)
+    known = mx.select(F.col("domain").alias("_domain"), "has_mx")
     good = (
-        check_emails(long, mx, strict)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("email")).alias("_good"))
+        F.col("email").isNotNull()
+        & ~F.col("_domain").isin(*vocab.DISPOSABLE_EMAIL_DOMAINS)
+        & F.coalesce("has_mx", F.lit(not strict))
     )
-    return (
-        sites.join(good, keys, "left")
-        .withColumn("emails", F.coalesce("_good", empty_list()))
-        .drop("_good")
+    checked = (
+        long.join(known, "_domain", "left")
+        .groupBy(*keys)
+        .agg(
+            F.any_value("_rest").alias("_rest"),
+            F.array_sort(F.collect_list(F.when(good, F.col("email")))).alias("emails"),
+        )
     )
+    return checked.select(*keys, "_rest.*", "emails").select(*sites.columns)
 
 
 def generic_mailboxes(mailboxes: DataFrame) -> DataFrame:
@@ -263,8 +282,3 @@ def infer_mailboxes(sites: DataFrame, mailboxes: DataFrame) -> DataFrame:
             "email_origin": F.when(take, F.lit("inferred")).otherwise(F.col("email_origin")),
         }
     ).drop("domain", "inferred")
-
-
-def one_per_url(facts: DataFrame) -> DataFrame:
-    """One row per URL, whatever the crawl stored (lowest final URL wins)."""
-    return first_per_key(facts, ["url"], ["final_url", "business_name"])

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import phrases, urls, vocab
+from leadmill.functions.text import phrase_array
 from leadmill.functions.vocab import Niche
 from leadmill.operators import deny
-from leadmill.operators.barrier import computed_once
+from leadmill.operators.reuse import computed_once
 from leadmill.operators.merge import first_per_key, top_n_per_key
 
 
@@ -18,7 +19,7 @@ def clean_candidates(
     results: DataFrame, deny_hosts: Sequence[str] | DataFrame = vocab.DEFAULT_DENY_HOSTS
 ) -> DataFrame:
     """Content pages become their site root, then junk addresses are dropped."""
-    rooted = results.withColumn("url", urls.to_site_root("url"))
+    rooted = computed_once(results.withColumn("url", urls.to_site_root("url")))
     return deny.drop_denied(rooted.filter(urls.is_page_url("url")), "url", deny_hosts)
 
 
@@ -55,12 +56,12 @@ def candidate_score(niches: Sequence[Niche] = vocab.NICHES) -> Column:
 
     def of_niche(pick) -> Column:
         return phrases.by_niche(
-            "niche", niches, lambda n: phrases.phrase_list(pick(n)), phrases.phrase_list([])
+            "niche", niches, lambda n: phrase_array(pick(n)), phrase_array([])
         )
 
     scope = phrases.hits("hay", of_niche(lambda n: n.scope_keywords))
     exclusion = phrases.hits("hay", of_niche(lambda n: n.exclusion_keywords))
-    junk = phrases.hits("hay", phrases.phrase_list(vocab.JUNK_TITLE_PHRASES))
+    junk = phrases.hits("hay", phrase_array(vocab.JUNK_TITLE_PHRASES))
     shallow = F.when(urls.path_depth("url") <= 1, F.lit(1)).otherwise(F.lit(0))
     return F.when(phrases.name_denied("title"), F.lit(-100)).otherwise(
         scope * 2 - exclusion * 4 - junk * 3 + shallow
@@ -124,14 +125,17 @@ def first_engine(
     cleaning is on topic.  Engines are judged from counts, so the results
     themselves are only joined to the small table of choices.
     """
-    rooted = results.withColumn("_root", urls.to_site_root("url"))
+    rooted = computed_once(
+        results.select("query", "niche", "engine_pos", "title", urls.to_site_root("url").alias("_root"))
+    )
     clean = urls.is_page_url("_root") & ~deny.url_denied("_root", deny_hosts)
     hay = F.lower(F.concat("_root", F.lit(" "), F.coalesce("title", F.lit(""))))
+    tested = rooted.select(
+        "query", "engine_pos", clean.alias("_clean"),
+        phrases.in_scope(hay, "niche", niches).alias("_hit"),
+    )
     judged = (
-        rooted.select(
-            "query", "engine_pos", clean.alias("_clean"),
-            phrases.in_scope(hay, "niche", niches).alias("_hit"),
-        )
+        computed_once(tested)
         .groupBy("query", "engine_pos")
         .agg(
             F.count_if("_clean").alias("n"),

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadmill import storage
 from leadmill.functions import leads, phrases, urls, vocab
 from leadmill.functions.vocab import Niche
 from leadmill.operators import deny, enrich, merge, rank, views
+from leadmill.operators.reuse import computed_once
 from leadmill.operators.gate import facts_reason
 from leadmill.sources.readers import fresh_only
 
@@ -29,6 +31,22 @@ class Lookups:
     mailboxes: DataFrame | None = None  # email, accepts
 
 
+def gated_sites(sites: DataFrame, facts: DataFrame, **switches: bool) -> DataFrame:
+    """Sites whose own page is stored, in scope and not a brand's.
+
+    Captures of the same URL are reduced after the join, so the facts of the
+    whole crawl are not shuffled when the sites are few enough to broadcast.
+    """
+    once = merge.first_per_key(
+        sites.join(facts, "url"), enrich.SITE, ["final_url", "business_name"]
+    )
+    return (
+        once.filter(~F.col("is_empty"))
+        .filter(facts_reason("niche", **switches).isNull())
+        .filter(~phrases.name_denied("business_name"))
+    )
+
+
 def page_contacts(
     sites: DataFrame, facts: DataFrame, lookups: Lookups = Lookups(), **switches: bool
 ) -> DataFrame:
@@ -36,18 +54,17 @@ def page_contacts(
 
     Gate and name test first, then sub-pages for sites without an e-mail,
     profiles found elsewhere, mail checks, and generic mailboxes last.
+
+    The sites that pass the gate are written to the shared folder: they are
+    few next to the crawl, are used twice (with and without an e-mail), and
+    the steps after them start from a short plan.
     """
-    facts = enrich.one_per_url(facts)
-    kept = (
-        sites.join(facts, "url")
-        .filter(~F.col("is_empty"))
-        .filter(facts_reason("niche", **switches).isNull())
-        .filter(~phrases.name_denied("business_name"))
-    )
     keep = [*sites.columns, "business_name", *vocab.CONTACT_LISTS]
-    found = enrich.add_subpages(
-        kept.select(*keep, "contact_links", "is_contactable"), facts
-    ).select(*keep)
+    kept = storage.materialize(
+        gated_sites(sites, facts, **switches).select(*keep, "contact_links", "is_contactable"),
+        "sites",
+    )
+    found = enrich.add_subpages(kept, facts).select(*keep)
     found = found.withColumn("email_origin", F.lit("scraped"))
     if lookups.social is not None:
         found = enrich.fill_social(found, lookups.social)
@@ -81,8 +98,8 @@ def seed_sites(
     *seeds*: ``url, niche, seq``.  Unlike search results, seeds are not moved
     to their site root.
     """
-    fixed = seeds.withColumn("url", urls.normalize_seed("url")).filter(urls.is_page_url("url"))
-    usable = deny.drop_denied(fixed, "url", deny_hosts)
+    fixed = computed_once(seeds.withColumn("url", urls.normalize_seed("url")))
+    usable = deny.drop_denied(fixed.filter(urls.is_page_url("url")), "url", deny_hosts)
     return usable.groupBy("url", "niche").agg(F.min("seq").alias("seq"))
 
 
