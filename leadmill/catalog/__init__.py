@@ -4,6 +4,6 @@ from leadmill.catalog.registry import ORACLES, QUERIES
 
 
 def load() -> tuple[dict, dict]:
-    from leadmill.catalog import files, gates, merges, runs, scalars  # noqa: F401
+    from leadmill.catalog import files, gates, merges, runs, scalars, streams  # noqa: F401
 
     return QUERIES, ORACLES

@@ -84,6 +84,13 @@ def version_path(path: str, version: int) -> str:
     return f"{path}/v{version}"
 
 
+def prune_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Drop all but the newest versions; readers of the last one stay safe."""
+    for version in versions(spark, path)[:-keep]:
+        fs, jpath = _fs(spark, version_path(path, version))
+        fs.delete(jpath, True)
+
+
 def swap_in(spark: SparkSession, staged: str, path: str) -> None:
     """Put a finished folder in the place of *path*, keeping the old one as
     ``<path>.previous`` until the next swap."""

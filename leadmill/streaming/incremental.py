@@ -47,11 +47,11 @@ def upsert_batch(
         place = F.struct(
             F.col("first_seen.seq.file").alias("file"), F.col("first_seen.seq.row").alias("row")
         )
-        merged = merged.drop("first_seen")
     else:
         place = F.struct(F.lit("").alias("file"), F.col("seq").cast("bigint").alias("row"))
-    merged = merged.withColumn("place", place)
+    merged = merged.withColumn("place", place).drop("first_seen")
     merged.write.mode("overwrite").parquet(storage.version_path(path, batch_id))
+    storage.prune_versions(spark, path)
 
 
 def upsert_stream(
