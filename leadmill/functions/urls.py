@@ -120,28 +120,39 @@ def path_depth(url: Column | str) -> Column:
     return F.when(path == "", F.lit(0)).otherwise(F.size(F.split(path, "/")))
 
 
-def url_rule_denied(url: Column | str) -> Column:
-    """The deny rules that need no host list: suffixes, markers, paths.
-
-    An address without a host is denied too.
-    """
-    host = host_of(url)
-    path = F.lower(path_of(url))
+def host_rule_denied(host: Column) -> Column:
     return (
         (host == "")
         | ends_with_any(host, vocab.DENIED_HOST_SUFFIXES)
         | contains_any(host, vocab.DENIED_HOST_MARKERS)
-        | ends_with_any(path, vocab.DENIED_PATH_ENDINGS)
-        | contains_any(path, vocab.DENIED_PATH_FRAGMENTS)
     )
 
 
+def path_rule_denied(url: Column) -> Column:
+    return bind(
+        F.lower(path_of(url)),
+        lambda path: ends_with_any(path, vocab.DENIED_PATH_ENDINGS)
+        | contains_any(path, vocab.DENIED_PATH_FRAGMENTS),
+    )
+
+
+def url_rule_denied(url: Column | str) -> Column:
+    """The deny rules that need no host list: suffixes, markers, paths.
+
+    An address without a host is denied too.
+    """
+    url = F.coalesce(col(url), F.lit(""))
+    return bind(host_of(url), host_rule_denied) | path_rule_denied(url)
+
+
 def host_suffixes(host: Column | str) -> Column:
     """``a.b.com`` -> ``[a.b.com, b.com, com]``: every parent domain."""
-    labels = F.split(col(host), "\\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    return bind(
+        F.split(col(host), "\\."),
+        lambda labels: F.transform(
+            F.sequence(F.lit(1), F.size(labels)),
+            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        ),
     )
 
 

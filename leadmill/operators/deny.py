@@ -13,29 +13,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import urls, vocab
-from leadmill.functions.text import col
+from leadmill.functions.text import bind, col
 
 # Longest list compiled into a plan; longer ones are joined as a table.
 MAX_INLINE_HOSTS = 5000
 
 
-def host_denied(
-    url: Column | str, deny_hosts: Sequence[str] = vocab.DEFAULT_DENY_HOSTS
-) -> Column:
-    """The host or one of its parent domains is listed (a hash lookup)."""
+def _listed(deny_hosts: Sequence[str]):
     hosts = list(deny_hosts)
     if len(hosts) > MAX_INLINE_HOSTS:
         raise ValueError("long deny lists go to drop_denied_hosts() as a table")
     if not hosts:
-        return F.lit(False)
-    return F.exists(urls.host_suffixes(urls.host_of(url)), lambda s: s.isin(*hosts))
+        return lambda host: F.lit(False)
+    return lambda host: F.exists(urls.host_suffixes(host), lambda s: s.isin(*hosts))
+
+
+def host_denied(
+    url: Column | str, deny_hosts: Sequence[str] = vocab.DEFAULT_DENY_HOSTS
+) -> Column:
+    """The host or one of its parent domains is listed (a hash lookup)."""
+    return bind(urls.host_of(url), _listed(deny_hosts))
 
 
 def url_denied(
     url: Column | str, deny_hosts: Sequence[str] = vocab.DEFAULT_DENY_HOSTS
 ) -> Column:
+    """Every deny rule; the host is parsed once for all of them."""
     url = F.coalesce(col(url), F.lit(""))
-    return urls.url_rule_denied(url) | host_denied(url, deny_hosts)
+    listed = _listed(deny_hosts)
+    by_host = bind(urls.host_of(url), lambda h: urls.host_rule_denied(h) | listed(h))
+    return by_host | urls.path_rule_denied(url)
 
 
 def denied_hosts(df: DataFrame, url: str, deny: DataFrame) -> DataFrame:
@@ -68,7 +75,6 @@ def drop_denied(
     df: DataFrame, url: str, deny_hosts: Sequence[str] | DataFrame = vocab.DEFAULT_DENY_HOSTS
 ) -> DataFrame:
     """Keep rows whose URL passes every deny rule."""
-    kept = df.filter(~urls.url_rule_denied(F.coalesce(F.col(url), F.lit(""))))
     if isinstance(deny_hosts, DataFrame):
-        return drop_denied_hosts(kept, url, deny_hosts)
-    return kept.filter(~host_denied(url, deny_hosts))
+        return drop_denied_hosts(df.filter(~urls.url_rule_denied(url)), url, deny_hosts)
+    return df.filter(~url_denied(url, deny_hosts))
