@@ -10,7 +10,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry  # noqa: E402
 import compare  # noqa: E402
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from leadmill import catalog  # noqa: E402
+
+QUERIES, ORACLES = catalog.load()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
