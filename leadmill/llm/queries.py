@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import bpe, chat, oracles, packing, quality, secrets
+from leadmill.llm import bpe, chat, neardup, oracles, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = dict(oracles.SQL)
@@ -93,3 +93,8 @@ def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op7_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicates(table(spark, sf_dir, "documents"))
