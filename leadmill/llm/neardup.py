@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from leadmill import storage
 from leadmill.llm.bpe import slices
 from leadmill.llm.graph import components
+from leadmill.llm.hashing import BASE, U64, mixed, word_hashes
 
 WORDS = 5
 MIN_PERCENT = 75
@@ -43,82 +44,26 @@ BANDS, BAND_ROWS = 40, 4
 SKETCH_WORDS = 8
 #: Six standard deviations of the sketch's estimate below the threshold.
 MIN_ESTIMATE = 0.46
-_CHUNK = 1 << 20
-_U64 = np.uint64
-
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit hash."""
-    x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U64(27))) * _U64(0x94D049BB133111EB)
-    return x ^ (x >> _U64(31))
-
-
-_SHINGLE_FACTORS = _mixed(np.arange(1, 64, dtype=_U64) * _U64(_BASE)) | _U64(1)
-_PERMUTE = (_mixed(np.arange(1000, 1000 + BANDS * BAND_ROWS, dtype=_U64)) >> _U64(32)).astype(np.uint32) | np.uint32(1)
-_SHIFT = (_mixed(np.arange(5000, 5000 + BANDS * BAND_ROWS, dtype=_U64)) >> _U64(32)).astype(np.uint32)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse, modulo 2 to the 64th."""
-
-    def __init__(self):
-        self._n = 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self._n:
-            self._n = max(n, 1 << 16)
-            self._up = self._row(_BASE | 1)
-            self._down = self._row(pow(_BASE | 1, -1, 1 << 64))
-        return self._up[:n], self._down[:n]
-
-    def _row(self, base: int) -> np.ndarray:
-        row = np.full(self._n, base, _U64)
-        row[0] = 1
-        return np.multiply.accumulate(row)
-
-
-_powers = _Powers()
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hash of every word of a text in UTF-8."""
-    found, at = [], 0
-    while at < len(raw):
-        end = min(len(raw), at + _CHUNK)
-        while end < len(raw) and not _IS_SPACE[raw[end]]:
-            end += 1
-        data = np.frombuffer(raw, np.uint8, end - at, at)
-        inside = ~_IS_SPACE[data]
-        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-        starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _powers.upto(len(data))
-        sums = np.concatenate([[_U64(0)], np.cumsum((data.astype(_U64) + _U64(1)) * up)])
-        words = (sums[stops] - sums[starts]) * down[starts]
-        found.append(_mixed(words + (stops - starts).astype(_U64) * _U64(_BASE)))
-        at = end
-    return np.concatenate(found) if found else np.zeros(0, _U64)
+_SHINGLE_FACTORS = mixed(np.arange(1, 64, dtype=U64) * U64(BASE)) | U64(1)
+_PERMUTE = (mixed(np.arange(1000, 1000 + BANDS * BAND_ROWS, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+_SHIFT = (mixed(np.arange(5000, 5000 + BANDS * BAND_ROWS, dtype=U64)) >> U64(32)).astype(np.uint32)
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
-    each = word_hashes((text or "").encode().lower())
+    each, _ = word_hashes((text or "").encode().lower())
     if not len(each):
         return each
     n = min(words, len(each))
-    joined = np.zeros(len(each) - n + 1, _U64)
+    joined = np.zeros(len(each) - n + 1, U64)
     for i in range(n):
         joined += each[i : len(each) - n + 1 + i] * _SHINGLE_FACTORS[i]
-    return np.unique(_mixed(joined + _U64(n)))
+    return np.unique(mixed(joined + U64(n)))
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
     """The smallest permuted value of a set under each permutation."""
-    short = (hashes ^ (hashes >> _U64(32))).astype(np.uint32)
+    short = (hashes ^ (hashes >> U64(32))).astype(np.uint32)
     least = np.full(len(_PERMUTE), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(short), 1024):
         permuted = short[None, at : at + 1024] * _PERMUTE[:, None] + _SHIFT[:, None]
@@ -127,17 +72,17 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.astype(_U64).reshape(BANDS, BAND_ROWS)
-    key = np.arange(1, BANDS + 1, dtype=_U64)
+    rows = least.astype(U64).reshape(BANDS, BAND_ROWS)
+    key = np.arange(1, BANDS + 1, dtype=U64)
     for i in range(BAND_ROWS):
-        key = _mixed(key * _U64(_BASE) + rows[:, i])
+        key = mixed(key * U64(BASE) + rows[:, i])
     return key.view(np.int64)
 
 
 def odd_sketch(least: np.ndarray) -> np.ndarray:
     """Parity bitmap of the samples (permutation, smallest value)."""
-    samples = _mixed(np.arange(1, len(least) + 1, dtype=_U64) << _U64(32) | least.astype(_U64))
-    bits = np.bincount((samples % _U64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    samples = mixed(np.arange(1, len(least) + 1, dtype=U64) << U64(32) | least.astype(U64))
+    bits = np.bincount((samples % U64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -156,8 +101,8 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 hashes = shingle_set(text)
                 sizes.append(len(hashes))
-                first.append(int(_mixed(hashes).sum(dtype=_U64).view(np.int64)))
-                second.append(int(_mixed(hashes ^ _U64(_BASE)).sum(dtype=_U64).view(np.int64)))
+                first.append(int(mixed(hashes).sum(dtype=U64).view(np.int64)))
+                second.append(int(mixed(hashes ^ U64(BASE)).sum(dtype=U64).view(np.int64)))
                 least = min_hashes(hashes)
                 bands.append(band_keys(least) if len(hashes) else [])
                 sketches.append(odd_sketch(least))

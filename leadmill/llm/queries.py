@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import bpe, chat, neardup, oracles, packing, quality, secrets
+from leadmill.llm import bpe, chat, linededup, neardup, oracles, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = dict(oracles.SQL)
@@ -98,3 +98,20 @@ def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the number of lines that go, and each with its earlier partner."""
+    docs = table(spark, sf_dir, "documents")
+    gone = linededup.removals(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "kept_doc_id", "kept_line_no", "distance"))).alias("gone")
+    )
+    listed = F.transform(
+        "gone", lambda g: F.concat_ws(":", g["line_no"], g["kept_doc_id"], g["kept_line_no"], g["distance"])
+    )
+    return docs.select("doc_id").join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(
+        "doc_id",
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(listed, ","), F.lit("")).alias("removed"),
+    )
