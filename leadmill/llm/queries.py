@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import bpe, chat, linededup, neardup, oracles, packing, quality, secrets
+from leadmill.llm import ann, bpe, chat, linededup, neardup, oracles, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = dict(oracles.SQL)
@@ -115,3 +115,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(listed, ","), F.lit("")).alias("removed"),
     )
+
+
+@query
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
