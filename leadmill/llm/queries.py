@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import ann, bpe, chat, linededup, neardup, oracles, packing, quality, secrets
+from leadmill.llm import ann, bpe, chat, linededup, neardup, oracles, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = dict(oracles.SQL)
@@ -120,3 +120,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op2_nearest_labelled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    told = F.transform(
+        "evidence", lambda e: F.concat_ws(":", e["doc_id"], F.round(e["cosine"], 4), e["toxic"])
+    )
+    return scored.select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.array_join(told, ",").alias("evidence"),
+    )
