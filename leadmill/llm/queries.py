@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import ann, bpe, chat, linededup, neardup, oracles, packing, quality, secrets, toxicity
+from leadmill.llm import ann, bpe, chat, linededup, neardup, oracles, packing, pii, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = dict(oracles.SQL)
@@ -133,3 +133,11 @@ def op2_nearest_labelled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.array_join(told, ",").alias("evidence"),
     )
+
+
+@query
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(table(spark, sf_dir, "documents"), key="corpus-pseudonyms-1")
+    return made.select(
+        "doc_id", "text", *(F.col(f"counts.{kind}").alias(f"n_{kind}") for kind in pii.KINDS)
+    )
