@@ -256,10 +256,12 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                 min_words: int = MIN_WORDS) -> DataFrame:
-    """*docs* without the lines that go; same columns, one row per row.
+                 min_words: int = MIN_WORDS, least_left_percent: int = 0) -> DataFrame:
+    """*docs* without the lines that go; same columns.
 
-    A text whose lines all go becomes empty.
+    A document that loses lines and is left with less than *least_left_percent*
+    of its words, or with none, goes as a whole if the percentage is above 0; at
+    0 every row stays, if with an empty text.
     """
     gone = removals(docs, id_col=id_col, text_col=text_col, min_words=min_words).groupBy(
         F.col("doc_id").alias("_gone_id")
@@ -270,12 +272,17 @@ def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         for batch in slices(batches):
             texts = batch.column(at).to_pylist()
+            stays = [True] * len(texts)
             for i, gone_lines in enumerate(batch.column(len(schema)).to_pylist()):
                 if gone_lines and texts[i] is not None:
-                    texts[i] = _without(texts[i], gone_lines, min_words)
+                    old, texts[i] = texts[i], _without(texts[i], gone_lines, min_words)
+                    if least_left_percent and texts[i] != old:
+                        left = len(texts[i].encode().split())
+                        stays[i] = left > 0 and left * 100 >= len(old.encode().split()) * least_left_percent
             columns = list(batch.columns[: len(schema)])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            made = pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield made.filter(pa.array(stays, pa.bool_()))
 
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left")
     return joined.select(*(docs[c] for c in docs.columns), "_gone_lines").mapInArrow(run, schema)

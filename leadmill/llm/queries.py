@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,3 +142,8 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "doc_id", "text", *(F.col(f"counts.{kind}").alias(f"n_{kind}") for kind in pii.KINDS)
     )
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
