@@ -136,36 +136,25 @@ def lead_merge_files(spark, sf):
     "lead_sort",
     with_tables("fx_leads")
     + f"""SELECT seq, {d.score()} AS quality_score,
-      row_number() OVER (ORDER BY {d.score()} DESC, seq) AS place FROM fx_leads
-    ORDER BY place LIMIT 100""",
+      row_number() OVER (ORDER BY {d.score()} DESC, seq) AS place FROM fx_leads""",
 )
 def lead_sort(spark, sf):
-    """The hundred best leads in order (a top-n report)."""
+    """All leads in order, best first."""
     scored = merge.with_quality(leads_table(spark, sf, "fx_leads"))
-    top = merge.best_first(scored, "seq").limit(100)
-    place = F.row_number().over(_whole(F.desc("quality_score"), "seq"))
-    return top.select("seq", "quality_score", place.alias("place"))
-
-
-def _whole(*order):
-    """Numbering of a report of at most a few hundred rows."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(*order)
+    ordered = merge.best_first(scored.select("seq", "quality_score"), "seq")
+    return merge.numbered(ordered).select("seq", "quality_score", "place")
 
 
 @query(
     "lead_sort_view",
     with_tables("fx_leads")
     + f"""SELECT seq, {d.score()} AS quality_score, scraped_at,
-      row_number() OVER (ORDER BY {d.score()} DESC, scraped_at DESC, seq) AS place FROM fx_leads
-    ORDER BY place LIMIT 100""",
+      row_number() OVER (ORDER BY {d.score()} DESC, scraped_at DESC, seq) AS place FROM fx_leads""",
 )
 def lead_sort_view(spark, sf):
     scored = merge.with_quality(leads_table(spark, sf, "fx_leads"))
-    top = merge.newest_best_first(scored, "seq").limit(100)
-    place = F.row_number().over(_whole(F.desc("quality_score"), F.desc("scraped_at"), "seq"))
-    return top.select("seq", "quality_score", "scraped_at", place.alias("place"))
+    ordered = merge.newest_best_first(scored.select("seq", "quality_score", "scraped_at"), "seq")
+    return merge.numbered(ordered).select("seq", "quality_score", "scraped_at", "place")
 
 
 @query(
@@ -331,18 +320,18 @@ def serp_limit(spark, sf):
 
 
 CHOSEN = f"""rooted AS (SELECT *, {d.to_root('url')} AS root FROM fx_serp),
-judged AS (SELECT query, engine_pos,
+judged AS (SELECT query, niche, engine_pos,
     count(*) FILTER (WHERE ok) AS n, count(*) FILTER (WHERE ok AND hit) AS hits
-  FROM (SELECT query, engine_pos, {d.is_page('root')} AND NOT {d.denied('root')} AS ok,
-    {d.in_scope(hay('root'), 'niche')} AS hit FROM rooted) GROUP BY 1, 2),
-chosen AS (SELECT query, min(engine_pos) AS engine_pos FROM judged WHERE {ok_ratio('n', 'hits')} GROUP BY 1)"""
+  FROM (SELECT query, niche, engine_pos, {d.is_page('root')} AND NOT {d.denied('root')} AS ok,
+    {d.in_scope(hay('root'), 'niche')} AS hit FROM rooted) GROUP BY 1, 2, 3),
+chosen AS (SELECT query, niche, min(engine_pos) AS engine_pos FROM judged WHERE {ok_ratio('n', 'hits')} GROUP BY 1, 2)"""
 
 
 @query(
     "engine_first",
     with_tables("fx_serp", extra=CHOSEN)
     + """SELECT r.query, r.engine_pos, r.rank, r.url FROM fx_serp r
-      JOIN chosen c ON r.query = c.query AND r.engine_pos = c.engine_pos""",
+      JOIN chosen c ON r.query = c.query AND r.niche = c.niche AND r.engine_pos = c.engine_pos""",
 )
 def engine_first(spark, sf):
     return rank.first_engine(table(spark, sf, "fx_serp")).select("query", "engine_pos", "rank", "url")

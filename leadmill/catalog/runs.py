@@ -301,7 +301,7 @@ def search_leads(spark, sf):
         {CHOSEN},
         parts AS (SELECT query, 0 AS source_rank, rank, url, title FROM cached UNION ALL
           SELECT r.query, 1, r.rank, r.url, r.title FROM fx_serp r JOIN chosen c
-            ON r.query = c.query AND r.engine_pos = c.engine_pos WHERE r.query NOT IN (SELECT query FROM settled)),
+            ON r.query = c.query AND r.niche = c.niche AND r.engine_pos = c.engine_pos WHERE r.query NOT IN (SELECT query FROM settled)),
         first_ AS (SELECT query, source_rank, {d.to_root('url')} AS url, title FROM (SELECT *, row_number() OVER
           (PARTITION BY query, url ORDER BY source_rank, rank) AS rn FROM parts) WHERE rn = 1)""",
     )

@@ -159,7 +159,7 @@ def contact_links(html: Column | str, hidden_dropped: bool = False) -> Column:
 
 
 def _title_case(word: Column) -> Column:
-    runs = F.regexp_extract_all(word, F.lit("[a-zA-Z]+|[^a-zA-Z]+"), F.lit(0))
+    runs = F.regexp_extract_all(word, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
@@ -182,17 +182,18 @@ def business_name(
     )
 
 
-def _hint(text: Column | str, phrases) -> Column:
-    return contains_any(F.substring(F.lower(col(text)), 1, vocab.HINT_WINDOW), phrases)
+def _hint(text: Column | str, phrases, window: int | None) -> Column:
+    lowered = F.lower(col(text))
+    return contains_any(lowered if window is None else F.substring(lowered, 1, window), phrases)
 
 
-def looks_contactable(text: Column | str) -> Column:
-    """The opening of the visible text mentions a way to get in touch."""
-    return _hint(text, vocab.CONTACTABLE_PHRASES)
+def looks_contactable(text: Column | str, window: int | None = None) -> Column:
+    """The text, or its first *window* characters, mentions a way to get in touch."""
+    return _hint(text, vocab.CONTACTABLE_PHRASES, window)
 
 
-def is_challenge_page(text: Column | str) -> Column:
+def is_challenge_page(text: Column | str, window: int | None = None) -> Column:
     """A capture that is empty or shows a bot check instead of content."""
     text = F.coalesce(col(text), F.lit(""))
-    return (text == "") | _hint(text, vocab.CHALLENGE_PHRASES)
+    return (text == "") | _hint(text, vocab.CHALLENGE_PHRASES, window)
 

@@ -81,11 +81,15 @@ GENERIC_MAILBOXES = (
 )
 MAX_INFERRED_MAILBOXES = 6
 
-# Patterns (Java dialect; U makes \\w, \\s and \\b cover all of Unicode).
-EMAIL_PATTERN = rf"(?iU)[\w.+-]+@[\w-]+\.(?:{'|'.join(EMAIL_TLDS)})\b"
+# Patterns (Java dialect; U makes \\w, \\s and \\b cover all of Unicode).  A match
+# begins where a run of its characters does, or right behind the match before it:
+# any later start would end in the same place, so a run is read once.
+_RUN_START = r"(?:\G|(?<![\w.+-]))"
+EMAIL_PATTERN = rf"(?iU){_RUN_START}[\w.+-]++@[\w-]+\.(?:{'|'.join(EMAIL_TLDS)})\b"
 OBFUSCATED_EMAIL_PATTERN = (
-    r"(?iU)[\w.+-]+\s*\[?\(?\s*(?:at|@)\s*\)?\]?\s*[\w-]+\s*\[?\(?\s*"
-    rf"(?:dot)\s*\)?\]?\s*(?:{'|'.join(OBFUSCATED_TLDS)})\b"
+    # Parts beyond 254 characters could only give an address that is too long.
+    rf"(?iU){_RUN_START}[\w.+-]{{1,254}}\s*+\[?\(?\s*+(?:at|@)\s*+\)?\]?\s*+[\w-]{{1,254}}\s*+\[?\(?\s*+"
+    rf"(?:dot)\s*+\)?\]?\s*+(?:{'|'.join(OBFUSCATED_TLDS)})\b"
 )
 PHONE_PATTERN = (
     r"(?U)(?=[+(0-9])(?:(?:\+?[0-9]{1,3}[\s.-]?)?\([0-9]{2,4}\)[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}"
@@ -102,7 +106,7 @@ LINKEDIN_PATTERN = (
     r"(?i)https?://(?:www\.)?linkedin\.com/(?:company|in|school)/[a-zA-Z0-9\-_./%]+"
 )
 CLOUDFLARE_PATTERN = 'data-cfemail="([0-9a-fA-F]+)"'
-PERCENT_EMAIL_PATTERN = "(?i)[A-Za-z0-9._%+-]+%40[A-Za-z0-9._%-]+"
+PERCENT_EMAIL_PATTERN = r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+%40[A-Za-z0-9._%-]+"
 MAILTO_PATTERN = r"""(?i)href\s*=\s*["']mailto:([^"'>\s]+)"""
 FILE_LIKE_HANDLE_PATTERN = r"\.(?:js|css|png|jpe?g|gif|svg|json|html?|php)$"
 
@@ -259,8 +263,6 @@ CONTACT_ANCHOR_TEXTS = (
     "inquiries?", "enquiries?", "our team", "our staff", "our people",
     "meet the team", "about us", "about-us", "who we are",
 )
-# Both phrase tests above on page captures read this many characters.
-HINT_WINDOW = 20000
 
 # --------------------------------------------------------------------------
 # Scores and limits

@@ -15,14 +15,8 @@ from pyspark.sql import functions as F
 from leadmill.functions import urls, vocab
 from leadmill.functions.text import bind, col
 
-# Longest list compiled into a plan; longer ones are joined as a table.
-MAX_INLINE_HOSTS = 5000
-
-
 def _listed(deny_hosts: Sequence[str]):
     hosts = list(deny_hosts)
-    if len(hosts) > MAX_INLINE_HOSTS:
-        raise ValueError("long deny lists go to drop_denied_hosts() as a table")
     if not hosts:
         return lambda host: F.lit(False)
     return lambda host: F.exists(urls.host_suffixes(host), lambda s: s.isin(*hosts))
@@ -71,6 +65,21 @@ def drop_denied_hosts(df: DataFrame, url: str, deny: DataFrame) -> DataFrame:
     )
 
 
+def flag_denied(
+    df: DataFrame, url: str, flag: str, deny_hosts: Sequence[str] | DataFrame = vocab.DEFAULT_DENY_HOSTS
+) -> DataFrame:
+    """Add a column that tells whether any deny rule holds."""
+    if not isinstance(deny_hosts, DataFrame):
+        return df.withColumn(flag, url_denied(url, deny_hosts))
+    bad = denied_hosts(df, url, deny_hosts).select(F.col("host").alias("_host"), F.lit(True).alias("_listed"))
+    return (
+        df.withColumn("_host", urls.host_of(url))
+        .join(bad, "_host", "left")
+        .withColumn(flag, F.col("_listed").isNotNull() | urls.url_rule_denied(url))
+        .drop("_host", "_listed")
+    )
+
+
 def drop_denied(
     df: DataFrame, url: str, deny_hosts: Sequence[str] | DataFrame = vocab.DEFAULT_DENY_HOSTS
 ) -> DataFrame:

@@ -215,8 +215,8 @@ def verify_emails(
 ) -> DataFrame:
     """Drop undeliverable addresses from the ``emails`` list of each row.
 
-    *mx*: ``domain, has_mx`` with one row per domain; a missing or NULL entry
-    is unknown, which only *strict* rejects.  Each address carries its row
+    *mx*: ``domain, has_mx``; of several rows of a domain one with a server is
+    enough, and a missing or NULL entry is unknown, which only *strict* rejects.  Each address carries its row
     along, so the sites are read once.  A domain shared by many sites (a mail
     provider) is a hot join key; the lookup side is unique per domain, so
     skew splitting applies.  Sites without an address take no part.
@@ -228,7 +228,7 @@ def verify_emails(
     long = sites.select(
         *keys, F.struct(*rest).alias("_rest"), F.explode_outer("emails").alias("email")
     ).withColumn("_domain", domain)
-    known = mx.select(F.col("domain").alias("_domain"), "has_mx")
+    known = mx.groupBy(F.col("domain").alias("_domain")).agg(F.max("has_mx").alias("has_mx"))
     good = (
         F.col("email").isNotNull()
         & ~F.col("_domain").isin(*vocab.DISPOSABLE_EMAIL_DOMAINS)
@@ -259,7 +259,7 @@ def generic_mailboxes(mailboxes: DataFrame) -> DataFrame:
         "email",
     )
     per_domain = (
-        good.filter("pos > 0")
+        good.filter((F.col("pos") > 0) & ~F.col("domain").isin(*vocab.DISPOSABLE_EMAIL_DOMAINS))
         .groupBy("domain")
         .agg(F.array_sort(F.collect_set(F.struct("pos", "email"))).alias("boxes"))
     )

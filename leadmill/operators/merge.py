@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadmill import storage
 from leadmill.functions import leads, urls, vocab
 from leadmill.functions.text import empty_list
 
@@ -215,6 +216,25 @@ def newest_best_first(df: DataFrame, *tie: str) -> DataFrame:
     return df.orderBy(F.desc("quality_score"), F.desc("scraped_at"), *tie)
 
 
+def numbered(ordered: DataFrame, place: str = "place") -> DataFrame:
+    """Number the rows of a globally sorted table from 1.
+
+    Every sorted partition numbers its own rows; only the row counts of the
+    partitions, one small row each, are added up.
+    """
+    held = storage.materialize(ordered.withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_id", 33)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy(part.alias("_part")).count()
+    before = F.coalesce(F.sum("count").over(earlier), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        held.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        .withColumn(place, F.col("_before") + within + 1).drop("_part", "_before", "_id")
+    )
+
+
 def with_quality(df: DataFrame) -> DataFrame:
     """Add the derived score and label (always recomputed)."""
     scored = df.withColumn("quality_score", leads.score())

@@ -117,32 +117,33 @@ def first_results(results: DataFrame, by: list[str], n: int) -> DataFrame:
 def first_engine(
     results: DataFrame,
     niches: Sequence[Niche] = vocab.NICHES,
-    deny_hosts: Sequence[str] = vocab.DEFAULT_DENY_HOSTS,
+    deny_hosts: Sequence[str] | DataFrame = vocab.DEFAULT_DENY_HOSTS,
 ) -> DataFrame:
     """Results of the first engine, in priority order, that served the query.
 
     An engine serves a query when it returned something and what survives
-    cleaning is on topic.  Engines are judged from counts, so the results
+    cleaning is on topic for the niche that asked.  Engines are judged from counts, so the results
     themselves are only joined to the small table of choices.
     """
     rooted = computed_once(
         results.select("query", "niche", "engine_pos", "title", urls.to_site_root("url").alias("_root"))
     )
-    clean = urls.is_page_url("_root") & ~deny.url_denied("_root", deny_hosts)
+    rooted = deny.flag_denied(rooted, "_root", "_denied", deny_hosts)
+    clean = urls.is_page_url("_root") & ~F.col("_denied")
     hay = F.lower(F.concat("_root", F.lit(" "), F.coalesce("title", F.lit(""))))
     tested = rooted.select(
-        "query", "engine_pos", clean.alias("_clean"),
+        "query", "niche", "engine_pos", clean.alias("_clean"),
         phrases.in_scope(hay, "niche", niches).alias("_hit"),
     )
     judged = (
         computed_once(tested)
-        .groupBy("query", "engine_pos")
+        .groupBy("query", "niche", "engine_pos")
         .agg(
             F.count_if("_clean").alias("n"),
             F.count_if(F.col("_clean") & F.col("_hit")).alias("hits"),
         )
         .filter(is_relevant(F.col("n"), F.col("hits")))
     )
-    chosen = judged.groupBy("query").agg(F.min("engine_pos").alias("engine_pos"))
-    return results.join(chosen, ["query", "engine_pos"], "left_semi")
+    chosen = judged.groupBy("query", "niche").agg(F.min("engine_pos").alias("engine_pos"))
+    return results.join(chosen, ["query", "niche", "engine_pos"], "left_semi")
 

@@ -146,16 +146,17 @@ def read_lead_json(spark: SparkSession, path: str, now: Column | None = None) ->
 
 
 def read_lead_lines(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
-    """JSON-lines export: one lead per line, splittable."""
-    rows = spark.read.schema(LEAD).json(path)
-    return _defaults(rows.select("*", file_place().alias("seq")), now)
+    """JSON-lines export: one lead per line, splittable; broken lines are left out."""
+    schema = T.StructType([*LEAD.fields, T.StructField("_broken", T.StringType())])
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_broken").json(path)
+    good = rows.select("*", file_place().alias("seq")).filter(F.col("_broken").isNull())
+    return _defaults(good.drop("_broken"), now)
 
 
 def read_leads(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
     """Earlier leads by file type; a missing or unreadable input is no leads.
 
-    Malformed records become NULL rows of the permissive parsers, which the
-    explode and the defaults drop or fill.
+    A malformed envelope explodes to nothing; broken JSON lines are left out.
     """
     if not storage.exists(spark, path):
         return empty_leads(spark)

@@ -207,8 +207,15 @@ def cache_key(query: Column | str) -> Column:
 
 
 def upsert_cache(spark: SparkSession, docs: DataFrame, path: str) -> None:
-    """Replace the entries of the queries in *docs*, keep all others."""
-    new = docs.select(cache_key("query").alias("query_key"), "query", "fetched_at", "urls")
+    """Replace the entries of the queries in *docs*, keep all others.
+
+    Of several documents of a query the one fetched last is written.
+    """
+    keyed = docs.select(cache_key("query").alias("query_key"), "query", "fetched_at", "urls")
+    last = F.max(F.struct("fetched_at", "query", "urls"))
+    new = keyed.groupBy("query_key").agg(last.alias("last")).select(
+        "query_key", "last.query", "last.fetched_at", "last.urls"
+    )
     if storage.exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path)
         new = new.unionByName(old.join(new.select("query_key"), "query_key", "left_anti"))

@@ -97,7 +97,13 @@ def swap_in(spark: SparkSession, staged: str, path: str) -> None:
     fs, target = _fs(spark, path)
     source = spark._jvm.org.apache.hadoop.fs.Path(staged)
     old = spark._jvm.org.apache.hadoop.fs.Path(path + ".previous")
-    if fs.exists(target):
-        fs.delete(old, True)
-        fs.rename(target, old)
-    fs.rename(source, target)
+    if not fs.exists(target):
+        if not fs.rename(source, target):
+            raise OSError(f"{staged} could not be moved to {path}")
+        return
+    fs.delete(old, True)
+    if not fs.rename(target, old):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(source, target):
+        fs.rename(old, target)
+        raise OSError(f"{staged} could not be moved to {path}; the former version is back in place")
