@@ -136,7 +136,7 @@ _RESULT_TITLE = f"""CASE WHEN k % 43 = 0 THEN 'Microsoft Partner ' || {K}
     ELSE 'Biz ' || {G} || ' ' || word END"""
 
 _SERP = f"""
-SELECT {_QUERY.format(_BLOCK)} AS query, niche, k % 7 AS engine_pos, k AS rank,
+SELECT {_QUERY.format(_BLOCK)} AS query, {_BLOCK} * 7919 % 100003 AS query_pos, niche, k % 7 AS engine_pos, k AS rank,
   {_RESULT_URL} AS url, {_RESULT_TITLE} AS title
 FROM fx_base"""
 

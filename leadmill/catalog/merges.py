@@ -270,7 +270,7 @@ def cand_score_query(spark, sf):
 
 
 RANKED = f"""sc AS (SELECT *, {cand_score(hay(), 'url', 'title', 'niche')} AS score FROM fx_serp),
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY niche ORDER BY score DESC, query, rank) AS pos
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY niche ORDER BY score DESC, query_pos, rank) AS pos
   FROM sc WHERE score >= -2) WHERE pos <= 60)"""
 
 
@@ -299,10 +299,10 @@ def skip_prior(spark, sf):
     "url_first",
     with_tables("fx_serp")
     + """SELECT niche, url, rank FROM (SELECT niche, url, rank, row_number() OVER
-      (PARTITION BY niche, url ORDER BY query, rank) AS rn FROM fx_serp) WHERE rn = 1""",
+      (PARTITION BY niche, url ORDER BY query_pos, rank) AS rn FROM fx_serp) WHERE rn = 1""",
 )
 def url_first(spark, sf):
-    return merge.distinct_urls(table(spark, sf, "fx_serp"), ["niche"], ["query", "rank"]).select(
+    return merge.distinct_urls(table(spark, sf, "fx_serp"), ["niche"], ["query_pos", "rank"]).select(
         "niche", "url", "rank"
     )
 

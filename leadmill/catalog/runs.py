@@ -265,11 +265,11 @@ def seed_leads(spark, sf):
 
 
 _SEARCH_SITES = f"""usable AS (SELECT * FROM fx_serp WHERE {d.is_page('url')} AND NOT {d.denied('url')}),
-once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY niche, url ORDER BY query, rank) AS rn FROM usable)
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY niche, url ORDER BY query_pos, rank) AS rn FROM usable)
   WHERE rn = 1 AND {d.host('url')} NOT IN (SELECT {d.host('website')} FROM fx_prior WHERE website <> '')),
 scored AS (SELECT *, {cand_score(hay(), 'url', 'title', 'niche')} AS score FROM once),
 sites AS MATERIALIZED (SELECT url, niche, query, seq FROM (SELECT *, row_number() OVER
-  (PARTITION BY niche ORDER BY score DESC, query, rank) AS seq FROM scored WHERE score >= -2) WHERE seq <= 60)"""
+  (PARTITION BY niche ORDER BY score DESC, query_pos, rank) AS seq FROM scored WHERE score >= -2) WHERE seq <= 60)"""
 
 
 @query(

@@ -106,7 +106,9 @@ def _upsert_sql(waves: int = 4) -> str:
     parts = [
         f"""w AS MATERIALIZED (SELECT seq, website, business_name, emails, {d.count()} AS n, {d.host_key('website')} AS hk,
         least(CAST(floor(seq * {waves} / ((SELECT max(seq) FROM fx_leads) + 1)) AS BIGINT), {waves - 1}) AS wave FROM fx_leads)""",
-        f"t0 AS MATERIALIZED (SELECT seq, website, business_name, emails, n, hk FROM w WHERE wave = 0 AND {purged})",
+        f"""t0 AS MATERIALIZED (SELECT seq, website, business_name, emails, n, hk FROM (
+            SELECT *, row_number() OVER (PARTITION BY hk ORDER BY n DESC, seq DESC) AS rn FROM w WHERE wave = 0 AND hk <> '')
+            WHERE rn = 1 AND {purged})""",
     ]
     for i in range(1, waves):
         parts.append(

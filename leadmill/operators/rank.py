@@ -73,6 +73,14 @@ def score_candidates(results: DataFrame, niches: Sequence[Niche] = vocab.NICHES)
     return hay.withColumn("score", candidate_score(niches).cast("int")).drop("hay")
 
 
+def query_order(results: DataFrame) -> list[str]:
+    """Order of results inside a niche: the place of their query there, then their rank.
+
+    ``query_pos`` is that place; results without it go by the text of the query.
+    """
+    return ["query_pos" if "query_pos" in results.columns else "query", "rank"]
+
+
 def probe_budget(max_leads: int) -> int:
     return max(15, max_leads * 3)
 
@@ -81,7 +89,7 @@ def rank_candidates(
     results: DataFrame,
     max_leads: int = 20,
     niches: Sequence[Niche] = vocab.NICHES,
-    order: Sequence[str] = ("query", "rank"),
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Best candidates per niche, as many as the probe budget allows.
 
@@ -91,7 +99,7 @@ def rank_candidates(
         F.col("score") >= vocab.CANDIDATE_MIN_SCORE
     )
     return top_n_per_key(
-        scored, ["niche"], [F.desc("score"), *order], probe_budget(max_leads), pos="probe_pos"
+        scored, ["niche"], [F.desc("score"), *(order or query_order(results))], probe_budget(max_leads), pos="probe_pos"
     )
 
 

@@ -127,13 +127,13 @@ def search_leads(
     deny_hosts: Sequence[str] | DataFrame = vocab.DEFAULT_DENY_HOSTS,
     now: Column | None = None,
 ) -> DataFrame:
-    """Leads from discovered results (``query, niche, rank, url, title``).
+    """Leads from discovered results (``query[, query_pos], niche, rank, url, title``).
 
     Results on a prior domain are skipped, the rest is ranked, and only the
     probe budget of each niche reaches the pages.  ``seq`` is the probe order.
     """
     clean = deny.drop_denied(results.filter(urls.is_page_url("url")), "url", deny_hosts)
-    once = merge.distinct_urls(clean, ["niche"], ["query", "rank"])
+    once = merge.distinct_urls(clean, ["niche"], rank.query_order(clean))
     if prior is not None:
         once = rank.skip_prior(once, prior)
     ranked = rank.rank_candidates(once, max_leads, niches)
@@ -154,7 +154,7 @@ def discover(
     """Clean results per query: paid, else fresh relevant cache, else the
     first free engine on topic; cached results always come first.
 
-    *results*: ``query, niche, engine_pos, rank, url, title``; *cache*:
+    *results*: ``query[, query_pos], niche, engine_pos, rank, url, title``; *cache*:
     ``query, niche, fetched_at, urls``; *paid*: like results, without engine.
     """
     cols = ["query", "niche", "rank", "url", "title"]
@@ -178,7 +178,11 @@ def discover(
     if paid is not None:
         parts = parts.unionByName(paid.select(*cols, F.lit(1).alias("source_rank")))
     once = merge.distinct_urls(parts, ["query"], ["source_rank", "rank"])
-    return rank.clean_candidates(once, deny_hosts)
+    found = rank.clean_candidates(once, deny_hosts)
+    if "query_pos" not in results.columns:
+        return found
+    places = results.groupBy("query", "niche").agg(F.min("query_pos").alias("query_pos"))
+    return found.join(places, ["query", "niche"], "left")
 
 
 def full_run(

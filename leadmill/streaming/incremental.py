@@ -39,16 +39,15 @@ def upsert_batch(
     """
     spark = leads_df.sparkSession
     old = current_leads(spark, path, before=batch_id)
-    if old is not None:
+    if old is None:
+        old = leads_df.limit(0)  # the first batch is reduced to one lead per host, too
+    else:
         # A merged table keeps the place its hosts first had as their order.
         old = old.drop("seq").withColumnRenamed("place", "seq")
     merged = merged_export(leads_df, old, deny_hosts)
-    if "first_seen" in merged.columns:
-        place = F.struct(
-            F.col("first_seen.seq.file").alias("file"), F.col("first_seen.seq.row").alias("row")
-        )
-    else:
-        place = F.struct(F.lit("").alias("file"), F.col("seq").cast("bigint").alias("row"))
+    place = F.struct(
+        F.col("first_seen.seq.file").alias("file"), F.col("first_seen.seq.row").alias("row")
+    )
     merged = merged.withColumn("place", place).drop("first_seen")
     merged.write.mode("overwrite").parquet(storage.version_path(path, batch_id))
     storage.prune_versions(spark, path)
