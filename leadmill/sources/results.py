@@ -1,8 +1,9 @@
 """Stored search-result captures -> ``rank, url, title`` rows.
 
-Each engine is a row of data: how a result block starts, which anchors to try
-and how its links are wrapped.  One pass marks block starts, the capture is
-cut there, and the anchor is taken from each piece.
+Each engine is a row of data: inside which element its results stand, how a
+result block starts, which anchors to try and how its links are wrapped.  One
+pass marks block starts, the capture is cut there, each piece ends where its
+element ends, and the anchor is taken from that.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class EngineMarkup:
     anchors: tuple[tuple[str, int], ...]  # (pattern, group), first match wins
     unwrap: str | None = None
     snippet: str | None = None
+    scope: str | None = None  # start of the element that holds the results
 
 
 _ANY = "[a-z][a-z0-9]*"
@@ -55,6 +57,7 @@ ENGINES = (
     EngineMarkup(
         "mojeek", rf"(?:<li\b[^>]*>|{_classed(_ANY, 'result')})",
         ((_inside("h2"), 1), (_anchor(_classed("a", "ob")), 0), (_anchor(_classed("a", "title")), 0)),
+        scope=_classed(_ANY, "results-standard"),
     ),
     EngineMarkup("bing", _classed("li", "b_algo"), ((_inside("h2"), 1),), "bing"),
     EngineMarkup(
@@ -73,14 +76,41 @@ ENGINES = (
 _CUT = "\u0002"
 
 
+def element(markup: Column) -> Column:
+    """The element that *markup* starts with, to its own end tag.
+
+    Counts start and end tags of its name; an element that is never closed runs
+    to the end of the text.
+    """
+
+    def ended(name: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            low = F.lower(F.substring(x, 1, 40))
+            opens = F.regexp_extract(low, r"^<([a-z][a-z0-9]*)", 1) == name
+            closes = F.regexp_extract(low, r"^</([a-z][a-z0-9]*)", 1) == name
+            depth = s["depth"] + opens.cast("int") - closes.cast("int")
+            return F.when(s["depth"] == 0, s).otherwise(
+                F.struct(depth.alias("depth"), (s["kept"] + (depth > 0).cast("int")).alias("kept"))
+            )
+
+        def inside(parts: Column) -> Column:
+            rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+            first = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("kept"))
+            kept = F.aggregate(rest, first, step)["kept"]
+            return F.array_join(F.slice(parts, F.lit(1), kept), "")
+
+        return bind(F.split(markup, "(?=<)"), inside)
+
+    return bind(F.lower(F.regexp_extract(markup, r"^<([A-Za-z][A-Za-z0-9]*)", 1)), ended)
+
+
 def _blocks(rule: EngineMarkup, page: Column) -> Column:
+    if rule.scope:
+        scoped = F.regexp_extract(page, rf"(?is){rule.scope}.*", 0)
+        page = F.when(scoped == "", scoped).otherwise(element(scoped))
     marked = F.regexp_replace(page, rf"(?is)({rule.block})", f"{_CUT}$1")
     pieces = F.split(marked, _CUT)
-    blocks = F.slice(pieces, F.lit(2), F.size(pieces))
-    if rule.engine == "bing":
-        # An advert or other item ends the block before the next result.
-        blocks = F.transform(blocks, lambda b: F.regexp_extract(b, r"(?is)^.*?(?:</li\s*>|\z)", 0))
-    return blocks
+    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), element)
 
 
 def _result(rule: EngineMarkup, block: Column) -> Column:
