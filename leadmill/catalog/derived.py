@@ -189,10 +189,10 @@ SELECT h AS domain, CASE WHEN min(g) % 11 = 0 THEN NULL
   ELSE min(g) % 5 <> 0 END AS has_mx
 FROM fx_base GROUP BY h"""
 
-_MAILBOX = " UNION ALL ".join(
-    f"SELECT DISTINCT '{name}@' || h AS email, (g + {i}) % 3 = 0 AS accepts FROM fx_base"
-    for i, name in enumerate(vocab.GENERIC_MAILBOXES)
-)
+_NAMES = f"split('{','.join(vocab.GENERIC_MAILBOXES)}', ',')"
+_MAILBOX = f"""
+SELECT DISTINCT name || '@' || h AS email, (g + array_position({_NAMES}, name) - 1) % 3 = 0 AS accepts
+FROM (SELECT h, g, @EACH@({_NAMES}) AS name FROM (SELECT DISTINCT h, g FROM fx_base))"""
 
 _SOCIAL = f"""
 SELECT h AS domain, k % 4 AS engine_pos,
@@ -218,17 +218,17 @@ def _result_page(engine: int) -> str:
           || '<div class="result"><a class="result__a" href="' || {ddg.format(other)}
           || '"></a><div class="result__snippet">About <b>us</b></div></div>'
           || '<div class="result"><a class="result__a" href="' || {ddg.format(link)} || '">dup</a></div>'""",
-        1: f"""'<ul class="results-standard"><li class="r1"><a class="ob" href="' || {other}
+        1: f"""'<nav><ul><li><h2><a href="https://nav.example/">nav</a></h2></li></ul></nav><ul class="results-standard"><li class="r1"><a class="ob" href="' || {other}
           || '">cached</a><h2><a class="title" href="' || {link} || '">' || {title}
           || '</a></h2></li><li><a class="ob" href="' || {other} || '">Team</a></li>'
-          || '<li><a class="title" href="/rel">rel</a></li></ul>'""",
+          || '<li><a class="title" href="/rel">rel</a></li></ul><ul><li><h2><a href="https://out.example/">out</a></h2></li></ul>'""",
         2: f"""'<ol><li class="b_algo"><div><h2><a href="' || {bing} || '">' || {title}
           || '</a></h2></div><p>x</p></li><li class="b_ad"><h2><a href="https://ad.example/">ad</a></h2></li>'
           || '<li class="b_algo x"><h2 class="t"><a target="_blank" href="' || {other}
           || '">Team</a></h2></li></ol>'""",
         3: f"""'<div class="snippet fdb"><a href="' || {other} || '">fav</a><a class="snippet-title h" href="'
-          || {link} || '">' || {title} || '</a></div><div class="snippet"><a href="/local">l</a><a href="'
-          || {other} || '">Team</a></div>'""",
+          || {link} || '">' || {title} || '</a></div><div class="snippet"><div><a href="/local">l</a></div><a href="'
+          || {other} || '">Team</a></div><div class="snippet">none</div>'""",
         4: f"""'<div class="result"><a class="result__link" href="' || {eco.format(link)} || '">'
           || {title} || '</a></div><div class="mainline result"><a href="' || {other}
           || '">Team</a></div><div class="result">none</div>'""",
@@ -237,7 +237,8 @@ def _result_page(engine: int) -> str:
           || '<article class="result"><a class="url_header" href="' || {sx.format(other)}
           || '">Team</a></article>'""",
     }
-    return f"{head} || {bodies[engine]} || '</body></html>'"
+    foot = "'<footer><a href=\"https://foot.example/\">foot</a></footer></body></html>'"
+    return f"{head} || {bodies[engine]} || {foot}"
 
 
 _ENGINES = ("ddg", "mojeek", "bing", "brave", "ecosia", "searx")
@@ -266,6 +267,7 @@ SELECT k, g, {_QUERY.format('k')} AS query,
   || '<item><link>https://' || h || '/team</link></item></channel></rss>' AS body
 FROM fx_base"""
 
+_EACH = {"spark": "explode", "duck": "unnest"}
 _B64 = {
     "spark": "rtrim('=', base64(CAST('https://' || h || '/p' || CAST(k AS STRING) AS BINARY)))",
     "duck": "rtrim(base64(encode('https://' || h || '/p' || CAST(k AS STRING))), '=')",
@@ -303,16 +305,20 @@ KEYS = {
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, spread over the cores when its scan has too few splits.
 
-    A large table has far more splits than cores and is left alone; only a
-    table that sits in a few small files is redistributed by its key.
+    A table with fewer splits than cores holds less than a split's size for
+    each core; only that is redistributed, by its key.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in KEYS and len(df.inputFiles()) == 1 and cores > 1:
+    if name in KEYS and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores, KEYS[name])
     return df
 
 
+def _in_dialect(sql: str, dialect: str) -> str:
+    return sql.replace("@B64@", _B64[dialect]).replace("@EACH@", _EACH[dialect])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived (or driver) table as a DataFrame."""
     if name not in TABLES:
@@ -321,7 +327,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for need in needs:
         table(spark, sf_dir, need).createOrReplaceTempView(need)
     # Stands for a stored table: later filters see columns, not these formulas.
-    return computed_once(spark.sql(sql.replace("@B64@", _B64["spark"])))
+    return computed_once(spark.sql(_in_dialect(sql, "spark")))
 
 
 def leads_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -339,7 +345,7 @@ def with_tables(*names: str, extra: str = "") -> str:
             needs, sql = TABLES[name]
             for need in needs:
                 visit(need)
-            done[name] = sql.replace("@B64@", _B64["duck"])
+            done[name] = _in_dialect(sql, "duck")
 
     for name in names:
         visit(name)
