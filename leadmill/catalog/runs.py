@@ -199,12 +199,17 @@ def contact_pages(spark, sf):
     )
 
 
-@query("contact_walk", _run_sql(_SEEDS, f"SELECT url, niche, n_used, {_SHOW} FROM extra"))
+_WHOLE_WALK = "(SELECT e.url, e.niche, CAST(len(e.used) AS INTEGER) AS n_used, " + ", ".join(
+    f"coalesce(x.{c}, []) AS {c}" for c in LISTS
+) + " FROM ended e LEFT JOIN extra x ON e.url = x.url AND e.niche = x.niche)"
+
+
+@query("contact_walk", _run_sql(_SEEDS, f"SELECT url, niche, n_used, {_SHOW} FROM {_WHOLE_WALK}"))
 def contact_walk(spark, sf):
-    """Sites whose sub-pages gave something."""
+    """Every site that was walked, also where its sub-pages gave nothing."""
     facts = facts_of(spark, sf)
     walked = enrich.contact_walk(enrich.walk_steps(enrich.contact_frontier(_bare(spark, sf, facts)), facts))
-    return _shown(walked.filter("n_used > 0"), "url", "niche", "n_used")
+    return _shown(walked, "url", "niche", "n_used")
 
 
 _LEAD_SITES = """checked AS (SELECT website AS url, niche, seq, '' AS query, business_name AS name,
