@@ -97,6 +97,8 @@ def swap_in(spark: SparkSession, staged: str, path: str) -> None:
     fs, target = _fs(spark, path)
     source = spark._jvm.org.apache.hadoop.fs.Path(staged)
     old = spark._jvm.org.apache.hadoop.fs.Path(path + ".previous")
+    if not fs.exists(source):
+        raise FileNotFoundError(staged)
     if not fs.exists(target):
         if not fs.rename(source, target):
             raise OSError(f"{staged} could not be moved to {path}")
@@ -104,6 +106,11 @@ def swap_in(spark: SparkSession, staged: str, path: str) -> None:
     fs.delete(old, True)
     if not fs.rename(target, old):
         raise OSError(f"{path} could not be set aside")
-    if not fs.rename(source, target):
-        fs.rename(old, target)
+    moved = False
+    try:
+        moved = fs.rename(source, target)
+    finally:
+        if not moved:
+            fs.rename(old, target)
+    if not moved:
         raise OSError(f"{staged} could not be moved to {path}; the former version is back in place")

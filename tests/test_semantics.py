@@ -213,3 +213,77 @@ def test_scratch_goes_to_the_named_folder(spark):
     shared = storage.shared_dir(spark)
     assert shared == named.rstrip("/") if named else shared.startswith("/")
     assert storage.materialize(spark.range(3)).count() == 3
+
+
+# -- repeated lookups, broken input, order -------------------------------------
+
+
+def test_lookups_with_repeated_rows(spark):
+    sites = spark.createDataFrame([("u", "saas", ["a@kiln.net", "b@loom.net"])], "url string, niche string, emails array<string>")
+    mx = spark.createDataFrame([("kiln.net", True), ("kiln.net", True), ("loom.net", False), ("loom.net", False)], "domain string, has_mx boolean")
+    assert enrich.verify_emails(sites, mx).first().emails == ["a@kiln.net"]
+    boxes = spark.createDataFrame([(f"info@{d}", True) for d in ("kiln.net", "mailinator.com")], "email string, accepts boolean")
+    assert [r.domain for r in enrich.generic_mailboxes(boxes).collect()] == ["kiln.net"]
+
+
+def test_broken_lines_are_left_out(spark, tmp_path):
+    path = tmp_path / "old.jsonl"
+    path.write_text('{"business_name": "Kiln", "website": "https://kiln.net/"}\n{"business_name": "Lo\n[1, 2\n')
+    assert [r.business_name for r in readers.read_leads(spark, str(path)).collect()] == ["Kiln"]
+
+
+def test_cache_keeps_the_last_document(spark, tmp_path):
+    urls_ = "array<struct<url: string, title: string>>"
+    docs = spark.createDataFrame(
+        [("q", "2024-01-0%d" % i, [(f"https://k{i}.net/", "")]) for i in (1, 3, 2)] + [("r", "2024-01-01", [])],
+        f"query string, fetched_at string, urls {urls_}",
+    )
+    for _ in range(2):
+        writers.upsert_cache(spark, docs, f"{tmp_path}/cache")
+    got = {r["query"]: r.fetched_at for r in spark.read.parquet(f"{tmp_path}/cache").collect()}
+    assert got == {"q": "2024-01-03", "r": "2024-01-01"} and spark.read.parquet(f"{tmp_path}/cache").count() == 2
+
+
+def test_upsert_is_the_same_in_one_batch_and_in_many(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"n{i}", rng.choice(["https://kiln.net/", "https://www.kiln.net/x", "https://loom.net/", ""]), rng.randint(0, 3), 1) for i in range(40)]
+    for n in (1, 4):
+        for batch in range(n):
+            incremental.upsert_batch(lead(spark, rows[batch * 40 // n : (batch + 1) * 40 // n]), batch, f"{tmp_path}/t{n}")
+    one, four = (
+        sorted((r.website, r.business_name) for r in incremental.current_leads(spark, f"{tmp_path}/t{n}").collect()) for n in (1, 4)
+    )
+    assert one == four and len(one) == 2
+
+
+def test_numbered_is_the_global_order(spark):
+    df = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("v"), "id").repartition(7)
+    got = merge.numbered(df.orderBy(F.desc("v"), "id")).collect()
+    want = sorted(((r.v, r.id) for r in got), key=lambda r: (-r[0], r[1]))
+    assert {r.place: (r.v, r.id) for r in got} == dict(enumerate(want, 1))
+
+
+def test_swap_in_puts_the_former_version_back(spark, tmp_path):
+    (tmp_path / "table").mkdir()
+    (tmp_path / "table" / "old").write_text("x")
+    with pytest.raises(Exception):
+        storage.swap_in(spark, f"{tmp_path}/not-there", f"{tmp_path}/table")
+    assert (tmp_path / "table" / "old").exists()
+
+
+def test_result_blocks_end(spark):
+    from leadmill.sources import results
+
+    pages = [
+        ("ecosia", '<div class="result"><p>none</p></div><footer><a href="https://foot.net/">f</a></footer>', []),
+        ("brave", '<div class="snippet"><div>x</div></div><a href="https://foot.net/">f</a>'
+                  '<div class="snippet"><a class="snippet-title" href="https://b.net/">B</a></div>', ["https://b.net/"]),
+        ("mojeek", '<nav><li><h2><a href="https://nav.net/">n</a></h2></li></nav><ul class="results-standard"><li><h2>'
+                   '<a href="https://m.net/">M</a></h2></li></ul><li><h2><a href="https://out.net/">o</a></h2></li>', ["https://m.net/"]),
+        ("searx", '<article class="result"><article>x</article><h3><a href="https://s.net/">S</a></h3></article>', ["https://s.net/"]),
+    ]
+    df = spark.createDataFrame([(e, h) for e, h, _ in pages], "engine string, html string")
+    got = {}
+    for r in results.html_results(df, ["engine"]).collect():
+        got.setdefault(r.engine, []).append(r.url)
+    assert got == {e: u for e, _, u in pages if u}
