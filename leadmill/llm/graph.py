@@ -41,8 +41,8 @@ def components(links: DataFrame) -> DataFrame:
     is an ordinary skewed join key.
     """
     state = storage.materialize(_oriented(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
-    while True:
-        after = _oriented(_small_star(_oriented(_large_star(state))))
+    while not state.isEmpty():
+        after = _oriented(_small_star(_large_star(state)))
         after = storage.materialize(after, "links")
         same = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         before, now = (t.agg(F.count("*").alias("n"), same.alias("s")).first() for t in (state, after))

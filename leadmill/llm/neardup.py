@@ -7,13 +7,15 @@ parity bitmap of its MinHash samples, gives the similarity of a candidate pair
 from the population count of an XOR; pairs that may be similar enough are
 confirmed on the full sets.
 
-Every group is kept linear.  Each bucket of a band first proposes only its
-smallest class to its members, and a member confirms only the best proposal.
-Where a bucket then still holds several components, the members outside its
-main component are compared with those of other components, inside the join
-condition, so only pairs that pass the sketch become rows.  Pairs that are
-already connected need no link.  Bands and sketches leave a link of similarity
-0.75 out with a chance of about 3e-7.
+Each bucket of a band first proposes only its smallest class to its members, and
+a member confirms only the best proposal.  Where a bucket then still holds
+several components, the members outside its main component are compared with
+those of other components by their sketches, inside the join condition, so only
+pairs that may link become rows, each in the first band that it shares.  Pairs
+that are already connected need no link.  The samples of a sketch are the
+smallest hashes of a set, all of them in a short text, so the bound is tight.
+Bands and sketches leave a link of similarity 0.75 out with a chance of about
+3e-7.
 
 Exact copies are aggregated before the exchange; band buckets are counted before
 they are joined; nothing is collected but counts and check sums.
@@ -41,9 +43,10 @@ from leadmill.llm.hashing import BASE, U64, mixed, word_hashes
 WORDS = 5
 MIN_PERCENT = 75
 BANDS, BAND_ROWS = 40, 4
-SKETCH_WORDS = 8
-#: Six standard deviations of the sketch's estimate below the threshold.
-MIN_ESTIMATE = 0.46
+#: MinHash samples in an odd sketch, and the sketch's 64-bit words.
+SAMPLES, SKETCH_WORDS = 512, 16
+#: Standard deviations that a sketch may be off before a link is missed.
+MARGIN = 6.0
 _SHINGLE_FACTORS = mixed(np.arange(1, 64, dtype=U64) * U64(BASE)) | U64(1)
 _PERMUTE = (mixed(np.arange(1000, 1000 + BANDS * BAND_ROWS, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFT = (mixed(np.arange(5000, 5000 + BANDS * BAND_ROWS, dtype=U64)) >> U64(32)).astype(np.uint32)
@@ -79,17 +82,29 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the samples (permutation, smallest value)."""
-    samples = mixed(np.arange(1, len(least) + 1, dtype=U64) << U64(32) | least.astype(U64))
-    bits = np.bincount((samples % U64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the MinHash samples of a set: its *SAMPLES* smallest hashes."""
+    bits = mixed(hashes[:SAMPLES] + U64(BASE)) % U64(64 * SKETCH_WORDS)
+    parity = np.bincount(bits.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def estimate(distance: Column) -> Column:
-    """Jaccard similarity from the number of differing bits of two odd sketches."""
-    bits = 64 * SKETCH_WORDS
-    return 1 + F.log(F.greatest(1 - 2 * distance / bits, F.lit(1e-9))) * (bits / 4 / (BANDS * BAND_ROWS))
+def most_differing_bits(n1: Column, n2: Column) -> Column:
+    """Bits in which two odd sketches may differ if their sets are similar enough.
+
+    The expected difference of the samples at the threshold, then that of the
+    bits, each with *MARGIN* standard deviations.
+    """
+    larger, smaller = F.greatest(n1, n2), F.least(n1, n2)
+    part_larger = F.least(F.lit(1.0), SAMPLES / larger)
+    part_smaller = F.least(F.lit(1.0), SAMPLES / smaller)
+    apart = (n1 + n2) * ((100 - MIN_PERCENT) / (100 + MIN_PERCENT))
+    samples = part_larger * apart + smaller * (part_smaller - part_larger)
+    samples = samples + MARGIN * F.sqrt(1.5 * samples * (1 - part_larger))
+    size = 64.0 * SKETCH_WORDS
+    fade = F.exp(-4 * samples / size)
+    spread = F.greatest(F.lit(0.0), size / 4 * (1 - fade) - samples * fade)
+    return size / 2 * (1 - F.sqrt(fade)) + MARGIN * F.sqrt(spread) + 1
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,7 +120,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 second.append(int(mixed(hashes ^ U64(BASE)).sum(dtype=U64).view(np.int64)))
                 least = min_hashes(hashes)
                 bands.append(band_keys(least) if len(hashes) else [])
-                sketches.append(odd_sketch(least))
+                sketches.append(odd_sketch(hashes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
                  pa.array(second, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
@@ -118,38 +133,36 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (``a, b``) whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, *carried: str) -> DataFrame:
+    """Pairs (``a, b`` and the *carried* numbers) whose full sets are similar enough."""
+    names = ["a", "b", *carried]
 
     def run(batches):
         for batch in slices(batches):
             kept = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x, y = shingle_set(one), shingle_set(two)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 kept.append(both > 0 and 100 * both >= MIN_PERCENT * (len(x) + len(y) - both))
             mask = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"]
-            )
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[2:]], names=names)
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    with_texts = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return with_texts.mapInArrow(run, "a long, b long")
+    with_texts = pairs.join(left, "a").join(right, "b").select("text_a", "text_b", *names)
+    return with_texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _may_link(one: str, two: str) -> Column:
-    """Size bound and sketch estimate of a pair of classes, as one condition."""
-    n1, n2 = F.col(f"{one}.n_shingles"), F.col(f"{two}.n_shingles")
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * MIN_PERCENT) & (_estimate(one, two) >= MIN_ESTIMATE)
+def _differing(one: str, two: str) -> Column:
+    bits = (F.bit_count(F.col(f"{one}.k{i}").bitwiseXOR(F.col(f"{two}.k{i}"))) for i in range(SKETCH_WORDS))
+    return reduce(Column.__add__, bits)
 
 
-def _estimate(one: str, two: str) -> Column:
-    differing = (
-        F.bit_count(F.col(f"{one}.k{i}").bitwiseXOR(F.col(f"{two}.k{i}"))) for i in range(SKETCH_WORDS)
-    )
-    return estimate(reduce(Column.__add__, differing))
+def _may_link(one: str, two: str) -> Column:
+    """Size bound and sketch bound of a pair of classes, as one condition."""
+    n1, n2 = F.col(f"{one}.n_shingles"), F.col(f"{two}.n_shingles")
+    sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * MIN_PERCENT
+    return sizes & (_differing(one, two) <= most_differing_bits(n1, n2))
 
 
 def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,10 +199,10 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         proposed.join(sketches.alias("x"), F.col("head") == F.col("x.member"))
         .join(sketches.alias("y"), proposed["member"] == F.col("y.member"))
         .filter(_may_link("x", "y"))
-        .select("head", proposed["member"].alias("member"), _estimate("x", "y").alias("near"))
+        .select("head", proposed["member"].alias("member"), _differing("x", "y").alias("bits"))
     )
-    best = rated.groupBy("member").agg(F.max(F.struct(F.col("near"), -F.col("head"))).alias("best"))
-    pairs = best.select((-F.col("best.col2")).alias("a"), F.col("member").alias("b"))
+    best = rated.groupBy("member").agg(F.min(F.struct("bits", "head")).alias("best"))
+    pairs = best.select(F.col("best.head").alias("a"), F.col("member").alias("b"))
     candidates = members.select(F.col("member").alias("doc_id")).distinct()
     texts = storage.materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(
@@ -209,20 +222,25 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     mixed = per_part.groupBy("band").agg(
         F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts")
     ).filter("parts > 1").select("band", "main")
-    open_rows = named.join(mixed, "band").join(sketches, "member")
-    rows = storage.materialize(open_rows, "open")
+    rows = storage.materialize(named.join(mixed, "band").join(firsts, "member"), "open")
+    first_shared = F.get("x.bands", F.array_position(
+        F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True
+    ).cast("int") - 1)
     apart = (
         (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.member") < F.col("y.member")))
     )
     more = (
         rows.filter("component != main").alias("x")
-        .join(rows.alias("y"), apart & _may_link("x", "y"))
-        .select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b"))
-        .distinct()
+        .join(rows.alias("y"), apart & _may_link("x", "y") & (first_shared == F.col("x.band")))
+        .select(F.col("x.member").alias("a"), F.col("y.member").alias("b"),
+                F.col("x.component").alias("part_a"), F.col("y.component").alias("part_b"))
     )
-    added = storage.materialize(_confirmed(more, texts), "confirmed")
-    found = components(links.union(added))
+    added = storage.materialize(_confirmed(more, texts, "part_a", "part_b"), "confirmed")
+    parts = components(added.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+    found = joined.select("node", F.col("component").alias("part")).join(
+        parts.select(F.col("node").alias("part"), F.col("component").alias("whole")), "part", "full"
+    ).select(F.coalesce("node", "part").alias("node"), F.coalesce("whole", "part").alias("component"))
 
     reached = classes.join(found, F.col("first_id") == F.col("node"), "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "first_id").alias("component")
