@@ -164,9 +164,12 @@ def _title_case(word: Column) -> Column:
 
 
 def business_name(
-    html: Column | str, url: Column | str, hidden_dropped: bool = False
+    html: Column | str, url: Column | str, hidden_dropped: bool = False, max_chars: int | None = 200
 ) -> Column:
-    """Site name from the page head, else its title, else its host."""
+    """Site name from the page head, else its title, else its host; *max_chars* of it."""
+    def cut(text: Column) -> Column:
+        return text if max_chars is None else F.substring(text, 1, max_chars)
+
     markup = col(html) if hidden_dropped else drop_hidden(html)
     og_tag = F.regexp_extract(markup, OG_TAG_PATTERN, 0)
     og = _attr_value(F.regexp_extract(og_tag, CONTENT_PATTERN, 1))
@@ -175,8 +178,8 @@ def business_name(
         F.regexp_replace(netloc_of(url), "^www\\.", ""), F.lit("."), F.lit(1)
     )
     return F.coalesce(
-        blank_to_null(F.substring(og, 1, 200)),
-        blank_to_null(F.substring(title, 1, 200)),
+        blank_to_null(cut(og)),
+        blank_to_null(cut(title)),
         F.when(F.coalesce(col(url), F.lit("")) != "", _title_case(label)),
         F.lit("Unknown"),
     )

@@ -20,7 +20,9 @@ SITE = ["url", "niche"]
 # -- contact sub-pages --------------------------------------------------------
 
 
-def frontier_urls(url: Column | str, found: Column | str) -> Column:
+def frontier_urls(
+    url: Column | str, found: Column | str, limit: int | None = vocab.MAX_SUBPAGES
+) -> Column:
     """Sub-pages to read, in order: found links, guessed paths; first five.
 
     The list is at most the page's own links plus the fixed guesses, so it is
@@ -32,15 +34,15 @@ def frontier_urls(url: Column | str, found: Column | str) -> Column:
     joined = F.transform(F.concat(found, guessed), lambda rel: urls.url_join(url, rel))
     home = F.concat(F.rtrim(url, F.lit("/")), F.lit("/"))
     kept = F.filter(F.array_distinct(joined), lambda u: u != home)
-    return F.slice(kept, 1, vocab.MAX_SUBPAGES)
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
-def contact_frontier(sites: DataFrame) -> DataFrame:
-    """``url, niche, pos, sub_url`` for sites that show a way to get in touch."""
+def contact_frontier(sites: DataFrame, limit: int | None = vocab.MAX_SUBPAGES) -> DataFrame:
+    """``url, niche, pos, sub_url`` for sites that show a way to get in touch; None: no limit."""
     open_sites = sites.filter((F.size("contact_links") > 0) | F.col("is_contactable"))
     # The outer form keeps the optimizer from building the list twice.
     return open_sites.select(
-        *SITE, F.posexplode_outer(frontier_urls("url", "contact_links")).alias("pos", "sub_url")
+        *SITE, F.posexplode_outer(frontier_urls("url", "contact_links", limit)).alias("pos", "sub_url")
     ).filter("sub_url IS NOT NULL")
 
 
@@ -92,7 +94,7 @@ def _state(misses: Column, done: Column, visited: Column, kept: Column) -> Colum
     ).cast(_STATE)
 
 
-def _advance(state: Column, step: Column) -> Column:
+def _advance(state: Column, step: Column, max_misses: int | None) -> Column:
     """One sub-page: found, missed, or seen before."""
     lists = [step[c] for c in vocab.CONTACT_LISTS]
     any_contact = F.lit(False)
@@ -101,8 +103,9 @@ def _advance(state: Column, step: Column) -> Column:
     missed = state["misses"] + 1
     visited = F.concat(state["visited"], F.array(step["final_url"]))
     useless = step["is_empty"] | ~step["accepted"] | ~any_contact
+    over = state["done"] if max_misses is None else state["done"] | (state["misses"] >= max_misses)
     return (
-        F.when(state["done"] | (state["misses"] >= vocab.MAX_MISSES), state)
+        F.when(over, state)
         .when(~step["present"], _state(missed, state["done"], state["visited"], state["kept"]))
         .when(F.array_contains(state["visited"], step["final_url"]), state)
         .when(useless, _state(missed, state["done"], visited, state["kept"]))
@@ -117,18 +120,18 @@ def _advance(state: Column, step: Column) -> Column:
     )
 
 
-def contact_walk(steps: DataFrame) -> DataFrame:
+def contact_walk(steps: DataFrame, max_misses: int | None = vocab.MAX_MISSES) -> DataFrame:
     """Fold the sub-pages of each site in order and keep what they gave.
 
-    Three misses in a row end the walk, so does the first e-mail; a page that
-    redirects to one already read is passed over.  A site has at most five
-    steps, so the group folded here is bounded by construction.
+    *max_misses* in a row end the walk, so does the first e-mail; a page that
+    redirects to one already read is passed over.  A site has as many steps as
+    `contact_frontier` was asked for, or as its page has links.
     """
     fields = ["pos", "present", "final_url", "is_empty", "accepted", *vocab.CONTACT_LISTS]
     step = F.struct(*[F.col(f) for f in fields])
     walked = steps.groupBy(*SITE).agg(F.array_sort(F.collect_list(step)).alias("steps"))
     start = _state(F.lit(0), F.lit(False), F.array(), F.array())
-    walked = walked.withColumn("state", F.aggregate("steps", start, _advance))
+    walked = walked.withColumn("state", F.aggregate("steps", start, lambda a, x: _advance(a, x, max_misses)))
     used = F.filter("steps", lambda s: F.array_contains(F.col("state.kept"), s["pos"]))
     walked = walked.withColumn("used", used)
     return walked.select(
@@ -245,8 +248,8 @@ def verify_emails(
     return checked.select(*keys, "_rest.*", "emails").select(*sites.columns)
 
 
-def generic_mailboxes(mailboxes: DataFrame) -> DataFrame:
-    """Per domain the first six generic mailboxes known to accept mail.
+def generic_mailboxes(mailboxes: DataFrame, limit: int | None = vocab.MAX_INFERRED_MAILBOXES) -> DataFrame:
+    """Per domain the first *limit* generic mailboxes known to accept mail.
 
     *mailboxes*: ``email, accepts``.  Starting from the known mailboxes needs
     no product of prefixes and domains; at most ten names fit a domain.
@@ -263,7 +266,7 @@ def generic_mailboxes(mailboxes: DataFrame) -> DataFrame:
         .groupBy("domain")
         .agg(F.array_sort(F.collect_set(F.struct("pos", "email"))).alias("boxes"))
     )
-    first = F.slice("boxes", 1, vocab.MAX_INFERRED_MAILBOXES)
+    first = F.col("boxes") if limit is None else F.slice("boxes", 1, limit)
     return per_domain.select(
         "domain", F.transform(first, lambda b: b["email"]).alias("inferred")
     )

@@ -17,10 +17,6 @@ from leadmill import storage
 from leadmill.functions import leads, urls, vocab
 from leadmill.functions.text import empty_list
 
-# Up to here Catalyst limits each window group before the shuffle.
-GROUP_LIMIT = 1000
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in the given order (nulls form one key)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -39,18 +35,11 @@ def top_n_per_key(
 
     *pos* keeps the position in a column of that name.
 
-    For small *n* the optimizer already cuts each group before the shuffle.
-    Beyond that a hot key is cut in salted pieces first, so no task ever sorts
-    a whole hot group.
+    A key is cut in salted pieces first, so no task ever sorts a whole hot group.
     """
-    if n > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        w = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            salted.withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= n)
-            .drop("_rn", "_salt")
-        )
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    w = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    df = salted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
     w = Window.partitionBy(*keys).orderBy(*order)
     top = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     if pos:

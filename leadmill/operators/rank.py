@@ -90,16 +90,20 @@ def rank_candidates(
     max_leads: int = 20,
     niches: Sequence[Niche] = vocab.NICHES,
     order: Sequence[str] | None = None,
+    budget: int | None = None,
 ) -> DataFrame:
     """Best candidates per niche, as many as the probe budget allows.
 
+    *budget* defaults to `probe_budget` of *max_leads*.
+
     ``probe_pos`` is the place of a candidate in its niche.
     """
     scored = computed_once(score_candidates(results, niches)).filter(
         F.col("score") >= vocab.CANDIDATE_MIN_SCORE
     )
     return top_n_per_key(
-        scored, ["niche"], [F.desc("score"), *(order or query_order(results))], probe_budget(max_leads), pos="probe_pos"
+        scored, ["niche"], [F.desc("score"), *(order or query_order(results))],
+        probe_budget(max_leads) if budget is None else budget, pos="probe_pos"
     )
 
 

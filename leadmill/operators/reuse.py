@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,18 +19,21 @@ def computed_once(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-_built: dict[tuple, list[Column]] = {}
+_built: WeakKeyDictionary[SparkSession, dict[tuple, list[Column]]] = WeakKeyDictionary()
 
 
 def built_once(name: str, parts: object, build: Callable[[], list[Column]]) -> list[Column]:
-    """Column expressions built once per JVM.
+    """Column expressions built once per session.
 
     A page expression takes some thousand calls to the JVM to put together.
     Columns refer to their inputs by name, so the same objects serve every
     DataFrame with these columns.
     """
-    context = SparkContext._active_spark_context
-    key = (name, id(context._gateway) if context else None, repr(parts))
-    if key not in _built:
-        _built[key] = build()
-    return _built[key]
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return build()
+    own = _built.setdefault(session, {})
+    key = (name, repr(parts))
+    if key not in own:
+        own[key] = build()
+    return own[key]
