@@ -350,3 +350,48 @@ def full_run(spark, sf):
         join_list("emails").alias("emails"),
     )
 
+
+_FOUND = f"""cached AS (SELECT * FROM (SELECT query, niche, rank, {d.to_root('url')} AS url, title FROM fx_cache
+    WHERE hours_ago < 168) WHERE {d.is_page('url')} AND NOT {d.denied('url')}),
+settled AS (SELECT query FROM (SELECT query, count(*) AS n, count(*) FILTER (WHERE {d.in_scope(hay(), 'niche')}) AS hits
+    FROM cached GROUP BY 1) WHERE {ok_ratio('n', 'hits')}),
+{CHOSEN},
+parts AS (SELECT query, niche, 0 AS source_rank, rank, url, title FROM cached UNION ALL
+  SELECT r.query, r.niche, 1, r.rank, r.url, r.title FROM fx_serp r JOIN chosen c
+    ON r.query = c.query AND r.niche = c.niche AND r.engine_pos = c.engine_pos WHERE r.query NOT IN (SELECT query FROM settled)),
+first_ AS (SELECT query, niche, source_rank, rank, {d.to_root('url')} AS url, title FROM (SELECT *, row_number() OVER
+  (PARTITION BY query, url ORDER BY source_rank, rank) AS rn FROM parts) WHERE rn = 1),
+found AS MATERIALIZED (SELECT f.*, p.query_pos FROM first_ f LEFT JOIN
+  (SELECT query, niche, min(query_pos) AS query_pos FROM fx_serp GROUP BY 1, 2) p ON f.query = p.query AND f.niche = p.niche
+  WHERE {d.is_page('f.url')} AND NOT {d.denied('f.url')})"""
+_FOUND_SITES = _SEARCH_SITES.replace("FROM fx_serp", "FROM found").replace("query_pos, rank", "query_pos, source_rank, rank")
+
+
+@query(
+    "search_run",
+    _run_sql(
+        f"{_FOUND}, {_FOUND_SITES}",
+        f"""SELECT hk AS site, business_name, website, quality_score, emails FROM (
+          SELECT *, row_number() OVER (PARTITION BY hk ORDER BY n DESC, src DESC, seq DESC) AS rn FROM both_ WHERE hk <> '')
+        WHERE rn = 1 AND NOT {d.denied('website')} AND NOT {d.provider_name('business_name')}""",
+        "fx_serp", "fx_cache", "fx_prior",
+        extra=f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY niche ORDER BY seq) AS place
+            FROM contacts WHERE {_ANY}) WHERE place <= 20),
+        once_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {d.host_key('url')}
+            ORDER BY {_NICHE_POS}, seq) AS rn FROM best) WHERE rn = 1),
+        both_ AS (SELECT 1 AS src, seq, {d.host_key('url')} AS hk, name AS business_name, url AS website,
+            {' + '.join(f'len({c})' for c in LISTS)} AS n, {_SCORE} AS quality_score, array_to_string(emails, ' | ') AS emails FROM once_
+          UNION ALL SELECT 0, seq, {d.host_key('website')}, business_name, website, {d.count()}, {d.score()}, emails FROM fx_prior
+            WHERE NOT {d.denied('website')} AND NOT {d.provider_name('business_name')})""",
+    ),
+)
+def search_run(spark, sf):
+    """Search mode end to end: discovery, leads of each niche, merge with the prior leads."""
+    whole = collect.search_run(
+        table(spark, sf, "fx_serp"), _cache_docs(spark, sf), facts_of(spark, sf), lookups(spark, sf),
+        prior=leads_table(spark, sf, "fx_prior"), max_leads=20, now=F.lit(STAMP), as_of=F.lit(CLOCK).cast("timestamp"),
+    )
+    return whole.select(
+        urls.host_key("website").alias("site"), "business_name", "website", "quality_score",
+        join_list("emails").alias("emails"),
+    )

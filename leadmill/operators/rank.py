@@ -77,8 +77,10 @@ def query_order(results: DataFrame) -> list[str]:
     """Order of results inside a niche: the place of their query there, then their rank.
 
     ``query_pos`` is that place; results without it go by the text of the query.
+    Discovered results also carry ``source_rank``: those of the cache come first.
     """
-    return ["query_pos" if "query_pos" in results.columns else "query", "rank"]
+    place = "query_pos" if "query_pos" in results.columns else "query"
+    return [place, *(["source_rank"] if "source_rank" in results.columns else []), "rank"]
 
 
 def probe_budget(max_leads: int) -> int:

@@ -204,3 +204,34 @@ def full_run(
         return merge.with_quality(views.purge(kept, deny_hosts))
     old = views.purge(prior, deny_hosts)
     return merge.with_quality(views.purge(merge.merge_leads(kept, old), deny_hosts))
+
+
+def search_run(
+    results: DataFrame,
+    cache: DataFrame,
+    facts: DataFrame,
+    lookups: Lookups = Lookups(),
+    prior: DataFrame | None = None,
+    paid: DataFrame | None = None,
+    max_leads: int = 20,
+    niches: Sequence[Niche] = vocab.NICHES,
+    deny_hosts: Sequence[str] | DataFrame = vocab.DEFAULT_DENY_HOSTS,
+    now: Column | None = None,
+    as_of: Column | None = None,
+) -> DataFrame:
+    """From stored search results to the table an export writes.
+
+    Discovery, the leads of each niche, one lead per host over the niches in
+    their order, and the merge with the prior leads.  *as_of* dates the cache,
+    *now* the leads.
+    """
+    found = storage.materialize(discover(results, cache, paid, as_of, niches, deny_hosts), "found")
+    made = storage.materialize(
+        search_leads(found, facts, lookups, prior, max_leads, niches, deny_hosts, now), "leads"
+    )
+    parts = [
+        made.filter(F.col("niche") == n.id).withColumn("niche_pos", F.lit(i)) for i, n in enumerate(niches)
+    ]
+    if prior is not None and "niche_pos" not in prior.columns:
+        prior = prior.withColumn("niche_pos", F.lit(None).cast("int"))
+    return full_run(parts, prior, deny_hosts=deny_hosts)
