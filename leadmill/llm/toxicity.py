@@ -16,7 +16,8 @@ Defined results: a null or empty text, like any without a known term, gets the
 smoothed share of toxic examples among those without a known term; without any
 labelled row the score is 0; repeated rows get the same score; a null
 ``doc_id`` is carried along and is not held out; labelled rows without a
-document or without a label are left out, of repeated labels the largest counts.
+document or without a label are left out; of repeated labels the largest counts,
+of several labelled texts with one ``doc_id`` the smallest.
 """
 
 from __future__ import annotations
@@ -222,11 +223,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         .groupBy("l_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("l_id"), "l_id").limit(sample_rows)
     )
-    # Bounded by sample_rows, so the texts need not move.
+    # The chosen ids are bounded by sample_rows, so only their texts move.
     sample = storage.materialize(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
-        .select("doc_id", "text", "toxic").limit(2 * sample_rows),
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")),
         "examples",
     )
     rows = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
