@@ -23,9 +23,11 @@ table gives no conversations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from leadmill import storage
 
@@ -78,26 +80,29 @@ def _steps_to_root(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         F.coalesce("score", F.lit(0.0)).alias("total"),
     )
     state = storage.materialize(state, "replies")
-    rounds = []
+    finished = [state.filter("jump IS NULL")]
+    moving, rounds = state.filter("jump IS NOT NULL"), []
     longest = state.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    # Twice the step each round; only messages that are not at a root yet take part.
     for _ in range(max(0, longest - 1).bit_length()):
-        if state.filter("jump IS NOT NULL").isEmpty():
+        if moving.isEmpty():
             break
-        rounds.append(state.select("conv_id", "node", "jump").filter("jump IS NOT NULL"))
-        ahead = state.select(
+        rounds.append(moving.select("conv_id", "node", "jump"))
+        ahead = reduce(DataFrame.union, finished, moving).select(
             F.col("conv_id").alias("a_conv"), F.col("node").alias("a_node"), F.col("jump").alias("a_jump"),
             F.col("depth").alias("a_depth"), F.col("total").alias("a_total"),
         )
-        met = state["conv_id"].eqNullSafe(ahead["a_conv"]) & (state["jump"] == ahead["a_node"])
+        met = moving["conv_id"].eqNullSafe(ahead["a_conv"]) & (moving["jump"] == ahead["a_node"])
         state = storage.materialize(
-            state.join(ahead, met, "left").select(
+            moving.join(ahead, met).select(
                 "conv_id", "node", F.col("a_jump").alias("jump"),
-                (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("a_total", F.lit(0.0))).alias("total"),
+                (F.col("depth") + F.col("a_depth")).alias("depth"), (F.col("total") + F.col("a_total")).alias("total"),
             ),
             "replies",
         )
-    return state.filter("jump IS NULL"), rounds
+        finished.append(state.filter("jump IS NULL"))
+        moving = state.filter("jump IS NOT NULL")
+    return reduce(DataFrame.union, finished), rounds
 
 
 def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
