@@ -6,10 +6,12 @@ line number, is equal or near; the earliest stays.
 
 Equal lines are aggregated first.  For the distinct lines every variant with one
 word deleted is a hashed key.  A key also says what it stands for: a variant at
-its place (lines that share it differ in that word) or a shorter line (a line
-that has it as its own key lacks that word).  So all lines that share a key are
-near to its earliest one, which an aggregate finds; no pairs are made, however
-many lines share a key.  The found partner is verified on the words.
+its place (lines that share it differ in that word) or a shorter line.  All lines
+that share a key of the first kind are near to its earliest one.  Under a key of
+the second kind only the line that is the shorter one is near to the others,
+which may be two edits apart; so the earliest row of either part is kept, and
+each part is matched with the other.  An aggregate finds these rows; no pairs are
+made, however many lines share a key.  The found partner is verified on the words.
 
 Lines without any possible partner are left out before variants are made: one
 edit leaves the first or the last words of both lines equal, so the hashes of
@@ -37,6 +39,8 @@ from leadmill.llm.hashing import BASE, U64, mixed, powers, word_hashes
 
 MIN_WORDS = 10
 _TAG = U64(0xD6E8FEB86659FD93)
+#: What a line is to a key: one of several that differ at a place, the shorter line, one with a word more.
+_CHANGED, _OWN, _REMOVED = range(3)
 
 
 def _sequence_key(sums: np.ndarray, length) -> np.ndarray:
@@ -75,8 +79,8 @@ class Lines:
         return mixed(front ^ _TAG), mixed(back ^ (_TAG << U64(1)))
 
 
-def deletion_keys(line: str, with_removals: bool) -> np.ndarray:
-    """Keys of a line's variants with one word deleted, and with *with_removals* its own."""
+def deletion_keys(line: str, with_removals: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a line's variants with one word deleted, and with *with_removals* its own; and their parts."""
     words, _ = word_hashes(line.encode())
     n = len(words)
     up, down = powers.upto(n + 1)
@@ -85,7 +89,8 @@ def deletion_keys(line: str, with_removals: bool) -> np.ndarray:
     removed = _sequence_key(without, n - 1)
     changed = mixed(removed ^ mixed(np.arange(1, n + 1, dtype=U64) * _TAG))
     own = _sequence_key(sums[-1:], n)
-    return np.unique(np.concatenate([changed, removed, own]) if with_removals else changed)
+    kinds = [changed, own, np.unique(removed)] if with_removals else [changed]
+    return np.concatenate(kinds), np.repeat(np.arange(len(kinds), dtype=np.int8), [len(k) for k in kinds])
 
 
 def near(one: list[str], two: list[str]) -> bool:
@@ -149,24 +154,24 @@ def _line_texts(with_lines: DataFrame) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """``variant, doc_id, line_no, line``: the deletion neighbourhood of each line."""
+    """``variant, part, doc_id, line_no, line``: the deletion neighbourhood of each line."""
 
     def run(batches):
         for batch in slices(batches):
             parts = []
             columns = (batch.column(i).to_pylist() for i in range(5))
             for words, removals, doc, number, line in zip(*columns):
-                keys = deletion_keys(words, removals).view(np.int64)
-                parts.append((keys, np.full(len(keys), doc), np.full(len(keys), number, np.int32),
-                              np.full(len(keys), line)))
+                keys, kinds = deletion_keys(words, removals)
+                parts.append((keys.view(np.int64), kinds, np.full(len(keys), doc),
+                              np.full(len(keys), number, np.int32), np.full(len(keys), line)))
             if parts:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in zip(*parts)],
-                    names=["variant", "doc_id", "line_no", "line"],
+                    names=["variant", "part", "doc_id", "line_no", "line"],
                 )
 
     return lines.select("words", "removals", "doc_id", "line_no", "line").mapInArrow(
-        run, "variant long, doc_id long, line_no int, line long"
+        run, "variant long, part byte, doc_id long, line_no int, line long"
     )
 
 
@@ -219,14 +224,16 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         _line_texts(own.join(wanted, F.col("d_id") == F.col("w_id"))).dropDuplicates(["line"]), "line-texts"
     )
 
-    # The earliest line of each key, then the earliest partner of each line.
+    # The earliest lines of each key, then the earliest partner of each line.
     variants = storage.materialize(_variants(asked.join(texts, "line")), "variants")
+    row, is_own = F.struct("doc_id", "line_no", "line"), F.col("part") == _OWN
     earliest = variants.groupBy("variant").agg(
-        F.min(F.struct("doc_id", "line_no", "line")).alias("early"), F.max("line").alias("most"),
-        F.min("line").alias("least"),
-    ).filter("least < most").select("variant", "early")
+        F.min(F.when(is_own, row)).alias("shorter"), F.min(F.when(~is_own, row)).alias("others"),
+        F.max("line").alias("most"), F.min("line").alias("least"), F.min("part").alias("has"),
+    ).filter((F.col("least") < F.col("most")) & (F.col("has") < _REMOVED)).select("variant", "shorter", "others")
+    early = F.when(F.col("part") == _REMOVED, F.col("shorter")).otherwise(F.col("others"))
     partners = (
-        variants.join(earliest, "variant")
+        variants.join(earliest, "variant").withColumn("early", early)
         .filter(F.struct(F.col("early.doc_id"), F.col("early.line_no")) < F.struct("doc_id", "line_no"))
         .groupBy("line").agg(F.min("early").alias("kept"))
         .select("line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"),

@@ -175,6 +175,24 @@ def test_line_dedup(spark):
             assert r.text == "\n".join(x for n, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, n) not in want)
 
 
+def test_line_dedup_finds_every_near_line(spark):
+    rng = random.Random(12)
+    base = fixtures.sentence(rng, 14).split(" ")
+    rows = [(0, " ".join(base[:2] + ["added"] + base[2:])), (1, " ".join(base)), (2, " ".join(base[:9] + ["added"] + base[9:]))]
+    edited = []
+    for n in range(300):
+        words = (fixtures.sentence(random.Random(n // 100), 14) if n >= 100 else " ".join(base)).split(" ")
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind != 1)] = [] if kind == 0 else [rng.choice(("added", "changed"))]
+        edited.append(" ".join(words))
+    rng.shuffle(edited)
+    rows = [(*r, "en", "s", 0) for r in rows + [(n + 3, t) for n, t in enumerate(edited)]]
+    got = linededup.removals(fixtures.frame(spark, rows)).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == gone_lines(rows) and len(got) == len(gone_lines(rows))
+    assert {r.doc_id: r.kept_doc_id for r in got}[2] == 1
+
+
 def test_line_dedup_repeated_rows_and_empty(spark):
     line = fixtures.sentence(random.Random(1), 20)
     rows = [(4, line, None, None, None), (4, line, None, None, None), (7, "x\n" + line, None, None, None)]
