@@ -1,10 +1,10 @@
 """Toxicity scores from the nearest labelled examples.
 
-Texts and labelled examples are TF-IDF vectors over words and word beginnings
-that tell the classes apart in the examples.  The nearest examples of a text are
-found by exact cosine in an inverted index with block maxima: blocks of examples
-are visited in the order of their upper bounds, until no block left can hold a
-nearer one.  The examples vote with weights that fall with their distance; votes
+Texts and labelled examples are TF-IDF vectors over all words and word beginnings
+of the examples.  The nearest examples of a text are found by exact cosine in an
+inverted index with block maxima: after the blocks with the largest upper bounds,
+those that can hold a nearer example are summed, or all of them where that is
+less work.  The examples vote with weights that fall with their distance; votes
 are calibrated by isotonic regression on the examples themselves, each left out
 of its own vote.  The nearest examples are the evidence.
 
@@ -22,7 +22,6 @@ of several labelled texts with one ``doc_id`` the smallest.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -36,10 +35,6 @@ from leadmill import storage
 from leadmill.llm.bpe import slices
 
 SAMPLE_ROWS = 16_384
-MAX_TERMS = 1_024
-MIN_TERM_DOCS = 5
-#: A term stays if its shares in the two classes differ by so many standard errors.
-MIN_DIFFERENCE = 6.0
 NEIGHBOURS = 15
 EVIDENCE = 3
 BLOCK = 64
@@ -99,48 +94,75 @@ class BlockMaxIndex:
         self.n = len(vectors)
         self.n_blocks = -(-self.n // BLOCK)
         lengths = [len(t) for t, _ in vectors]
-        terms = np.concatenate([t for t, _ in vectors]) if self.n else np.zeros(0, np.int64)
+        terms = np.concatenate([t for t, _ in vectors]) if self.n else np.zeros(0, np.int32)
         weights = np.concatenate([w for _, w in vectors]) if self.n else np.zeros(0)
-        docs = np.repeat(np.arange(self.n), lengths)
-        order = np.lexsort((docs, terms))
-        self._docs, self._weights, terms = docs[order], weights[order], terms[order]
-        runs = terms * max(1, self.n_blocks) + self._docs // BLOCK
-        starts = np.flatnonzero(np.diff(runs, prepend=-1))
-        self._run_start = np.append(starts, len(runs))
-        self._run_block = self._docs[starts] // BLOCK
+        order = np.argsort(terms, kind="stable")
+        self._docs = np.repeat(np.arange(self.n, dtype=np.int32), lengths)[order]
+        self._weights, terms = weights[order], terms[order]
+        del order, weights
+        self._term_start = np.searchsorted(terms, np.arange(n_terms + 1))
+        self._runs()
+
+    def _runs(self) -> None:
+        """The entries of each term in each block, and their largest weight."""
+        terms = np.repeat(np.arange(len(self._term_start) - 1, dtype=np.int32), np.diff(self._term_start))
+        blocks = self._docs // BLOCK
+        starts = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(blocks, prepend=-1) != 0))
+        self._run_block = blocks[starts]
         self._run_max = np.maximum.reduceat(self._weights, starts) if len(starts) else np.zeros(0)
-        self._term_run = np.searchsorted(terms[starts], np.arange(n_terms + 1))
+        self._run_start = np.append(starts, len(terms))
+        self._term_run = np.searchsorted(starts, self._term_start)
+
+    def __getstate__(self) -> dict:
+        """Only what the runs are made from travels, document numbers in as few bytes as will do."""
+        return {
+            "n": self.n, "n_blocks": self.n_blocks, "_term_start": self._term_start, "_weights": self._weights,
+            "_docs": self._docs.astype(np.min_scalar_type(max(0, self.n - 1))),
+        }
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"_docs": state["_docs"].astype(np.int32)}
+        self._runs()
+
+    def _sums(self, starts: np.ndarray, stops: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Rounded cosine of every example over the entries from *starts* to *stops*."""
+        parts = list(zip(starts.tolist(), stops.tolist()))
+        if not parts:
+            return np.zeros(self.n)
+        docs = np.concatenate([self._docs[a:b] for a, b in parts])
+        weights = np.concatenate([self._weights[a:b] for a, b in parts])
+        weights *= np.repeat(share, stops - starts)
+        return np.round(np.bincount(docs, weights, minlength=self.n), 12)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The *k* examples with the largest cosine above zero, nearest first; ties to the smaller number."""
-        runs = [np.arange(self._term_run[t], self._term_run[t + 1]) for t in terms.tolist()]
-        share = np.repeat(weights, [len(r) for r in runs])
-        runs = np.concatenate(runs)
-        blocks = self._run_block[runs]
-        bound = np.bincount(blocks, share * self._run_max[runs], minlength=self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        best = np.zeros(0), np.zeros(0, np.int64)
-        at, take = 0, 2
-        while at < len(order):
-            least = best[0][-1] if len(best[0]) == k else 0.0
-            chosen = order[at : at + take]
-            chosen = chosen[bound[chosen] * (1 + 1e-12) >= least] if least else chosen[bound[chosen] > 0]
-            if not len(chosen):
-                break
-            within = np.isin(blocks, chosen)
-            starts, stops = self._run_start[runs[within]], self._run_start[runs[within] + 1]
-            where = np.concatenate([np.arange(a, b) for a, b in zip(starts.tolist(), stops.tolist())])
-            part = np.repeat(share[within], stops - starts) * self._weights[where]
-            docs, own = np.unique(self._docs[where], return_inverse=True)
-            scores = np.round(np.bincount(own, part), 12)
-            if skip >= 0:
-                docs, scores = docs[docs != skip], scores[docs != skip]
-            scores, docs = np.concatenate([best[0], scores]), np.concatenate([best[1], docs])
-            top = np.lexsort((docs, -scores))[:k]
-            best = scores[top], docs[top]
-            at += take
-            take *= 4
-        return best[1], best[0]
+        first, last = self._term_run[terms], self._term_run[terms + 1]
+        sizes = last - first
+        runs = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+        blocks, share = self._run_block[runs], np.repeat(weights, sizes)
+        bound = np.bincount(blocks, share * self._run_max[runs], minlength=self.n_blocks) * (1 + 1e-12) + 1e-12
+
+        def within(chosen: np.ndarray) -> np.ndarray:
+            some = chosen[blocks]
+            return self._sums(self._run_start[runs[some]], self._run_start[runs[some] + 1], share[some])
+
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[np.argsort(-bound, kind="stable")[:2]] = True
+        scores = within(chosen)
+        if skip >= 0:
+            scores[skip] = 0
+        least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
+        open_blocks = bound >= least if least > 0 else bound > 2e-12
+        # A block costs a slice for each of its terms, a whole list one for all blocks.
+        scores = within(open_blocks) if open_blocks.mean() < 0.1 else self._sums(
+            self._term_start[terms], self._term_start[terms + 1], weights
+        )
+        if skip >= 0:
+            scores[skip] = 0
+        least = np.partition(scores, self.n - k)[self.n - k] if self.n > k else 0.0
+        near = np.flatnonzero((scores >= least) & (scores > 0))
+        near = near[np.lexsort((near, -scores[near]))[:k]]
+        return near, scores[near]
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +184,7 @@ class Model:
     """What scoring needs; its size is bounded by the sample."""
 
     idf: dict[str, float] = field(default_factory=dict)
-    examples: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    index: BlockMaxIndex | None = None
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: list = field(default_factory=list)
     prior: float = 0.0
@@ -171,7 +193,6 @@ class Model:
 
     def open(self) -> None:
         self.vectors = Vectors(self.idf)
-        self.index = BlockMaxIndex(self.examples, len(self.idf))
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Distance-weighted share of label 1 among neighbours, drawn towards the prior."""
@@ -180,7 +201,7 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[tuple]]:
         terms, weights = self.vectors(text)
-        if not len(terms) or not self.examples:
+        if not len(terms) or self.index is None:
             return self.unknown, []
         near, cosine = self.index.nearest(terms, weights, NEIGHBOURS)
         if not len(near):
@@ -195,23 +216,18 @@ class Model:
 
 
 def _count_terms(sample: DataFrame) -> DataFrame:
-    """``term, ones, zeros``: labelled rows of either class that hold each term."""
+    """``term, seen``: labelled rows that hold each term."""
 
     def run(batches):
         for batch in slices(batches):
-            ones, zeros = Counter(), Counter()
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(_WORD.findall((text or "").lower()))
-                (ones if label else zeros).update({t for w in words for t in terms_of(w)})
-            terms = list(ones | zeros)
+            seen = Counter()
+            for text in batch.column(0).to_pylist():
+                seen.update({t for w in set(_WORD.findall((text or "").lower())) for t in terms_of(w)})
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array([ones[t] for t in terms], pa.int64()),
-                 pa.array([zeros[t] for t in terms], pa.int64())],
-                names=["term", "ones", "zeros"],
+                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "seen"]
             )
 
-    counted = sample.select("text", "toxic").mapInArrow(run, "term string, ones long, zeros long")
-    return counted.groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    return sample.select("text").mapInArrow(run, "term string, seen long").groupBy("term").agg(F.sum("seen").alias("seen"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -236,44 +252,46 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not n1 or not n0:
         rate = float(n1 > 0)
         return Model(prior=rate, unknown=rate)
-    seen = F.col("ones") + F.col("zeros")
-    share = seen / n
-    spread = F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    difference = F.abs(F.col("ones") / n1 - F.col("zeros") / n0) / F.greatest(spread, F.lit(1e-12))
-    kept = (
-        _count_terms(sample).filter((seen >= MIN_TERM_DOCS) & (seen * 2 <= n) & (difference >= MIN_DIFFERENCE))
-        .select("term", seen.alias("seen"), difference.alias("difference"))
-        .orderBy(F.desc("difference"), "term").limit(MAX_TERMS).collect()
-    )
-    idf = {r["term"]: math.log((1 + n) / (1 + r["seen"])) + 1 for r in kept}
+    counted = _count_terms(sample).orderBy("term").toArrow()
+    idf = dict(zip(
+        counted.column("term").to_pylist(), (np.log((1 + n) / (1 + counted.column("seen").to_numpy())) + 1).tolist()
+    ))
+    del counted
 
     def run(batches):
         vectors = Vectors(idf)
         for batch in slices(batches):
             found = [vectors(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([t for t, _ in found], pa.list_(pa.int64())),
+                [batch.column(0), batch.column(2), pa.array([t for t, _ in found], pa.list_(pa.int32())),
                  pa.array([w for _, w in found], pa.list_(pa.float64()))],
                 names=["doc_id", "toxic", "terms", "weights"],
             )
 
     id_type = sample.schema["doc_id"].dataType.simpleString()
     made = sample.mapInArrow(
-        run, f"doc_id {id_type}, toxic int, terms array<bigint>, weights array<double>"
-    ).collect()
-    blank = [r["toxic"] for r in made if not r["terms"]]
-    known = [r for r in made if r["terms"]]
+        run, f"doc_id {id_type}, toxic int, terms array<int>, weights array<double>"
+    ).toArrow()
+    ids, labels = made.column("doc_id").to_pylist(), made.column("toxic").to_numpy()
+    vectors = []
+    for batch in made.select(["terms", "weights"]).to_batches():
+        terms, weights = (c.flatten().to_numpy() for c in batch.columns)
+        ends = np.cumsum(batch.column(0).value_lengths().to_numpy())[:-1]
+        vectors += zip(np.split(terms, ends), np.split(weights, ends))
+    blank = [int(y) for (t, _), y in zip(vectors, labels.tolist()) if not len(t)]
     # Examples with the same heaviest term share blocks, which keeps bounds tight.
-    known.sort(key=lambda r: (r["terms"][int(np.argmax(r["weights"]))], r["toxic"], str(r["doc_id"])))
+    known = sorted(
+        (i for i, (t, _) in enumerate(vectors) if len(t)),
+        key=lambda i: (int(vectors[i][0][int(np.argmax(vectors[i][1]))]), int(labels[i]), str(ids[i])),
+    )
+    examples = [vectors[i] for i in known]
     model = Model(
-        idf=idf,
-        examples=[(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in known],
-        labels=np.array([r["toxic"] for r in known], float), ids=[r["doc_id"] for r in known],
+        idf=idf, index=BlockMaxIndex(examples, len(idf)) if examples else None,
+        labels=labels[known].astype(float), ids=[ids[i] for i in known],
         prior=n1 / n, unknown=(sum(blank) + 0.5) / (len(blank) + 1) if blank else n1 / n,
     )
-    model.open()
     votes = []
-    for i, (terms, weights) in enumerate(model.examples):
+    for i, (terms, weights) in enumerate(examples):
         near, cosine = model.index.nearest(terms, weights, NEIGHBOURS, skip=i)
         votes.append(model.vote(near, cosine))
     model.curve = isotonic(np.array(votes), model.labels) if votes else None
@@ -287,7 +305,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         own = shared.value
-        if not hasattr(own, "index"):
+        if not hasattr(own, "vectors"):
             own.open()
         for batch in slices(batches):
             found = [own.score(t) for t in batch.column(1).to_pylist()]

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -375,6 +376,20 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, blank).collect()} == {0.0}
 
 
+def test_toxicity_rare_words_have_neighbours(spark):
+    rng = random.Random(10)
+    rows = [(i, fixtures.sentence(rng, 12) + f" pair{i // 4}", "en", "s", 0) for i in range(80)]
+    marked = spark.createDataFrame([(i, 1, int(i % 8 < 4)) for i in range(80)], "doc_id long, quality int, toxic int")
+    rows += [(900 + i, f"PAIR{i}, unheard", "en", "s", 0) for i in range(20)] + [(990, "unheard", "en", "s", 0)]
+    docs = fixtures.frame(spark, rows)
+    by = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, marked)).collect()}
+    assert not by[990].evidence
+    for i in range(20):
+        known = {j for j in range(80) if j // 4 == i and zlib.crc32(str(j).encode()) % 5}
+        best = [e.doc_id for e in by[900 + i].evidence][: len(known)]
+        assert by[900 + i].evidence and set(best) <= known or not known
+
+
 # -- pipeline ---------------------------------------------------------------------------------
 
 
