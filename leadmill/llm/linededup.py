@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Two lines are near when one word edit (change, insertion or removal) turns one
-into the other.  A line goes when an earlier line, in the order of ``doc_id`` and
+into the other and the longer has *near_words* words or more: short lines would
+match by chance.  Lines of every length are compared for equality.  A line goes when an earlier line, in the order of ``doc_id`` and
 line number, is equal or near; the earliest stays.
 
 Equal lines are aggregated first.  For the distinct lines every variant with one
@@ -17,7 +18,7 @@ Lines without any possible partner are left out before variants are made: one
 edit leaves the first or the last words of both lines equal, so the hashes of
 those two ends are counted first.
 
-Lines of fewer than *min_words* words are left alone.
+Lines of fewer than *min_words* words, by default only those of none, are left alone.
 
 Defined results: a null or empty text has no lines to compare; rows with a null
 ``doc_id`` are neither compared nor changed; rows that share a ``doc_id`` share
@@ -37,7 +38,9 @@ from leadmill import storage
 from leadmill.llm.bpe import slices
 from leadmill.llm.hashing import BASE, U64, mixed, powers, word_hashes
 
-MIN_WORDS = 10
+MIN_WORDS = 1
+#: The longer of two near lines has so many words at least.
+NEAR_WORDS = 10
 _TAG = U64(0xD6E8FEB86659FD93)
 #: What a line is to a key: one of several that differ at a place, the shorter line, one with a word more.
 _CHANGED, _OWN, _REMOVED = range(3)
@@ -73,14 +76,17 @@ class Lines:
         Lines from 2^c words to below 2^(c+1) take 2^(c-1) words; *shorter* gives
         those that lines with one word fewer take.
         """
-        size = np.left_shift(1, np.log2(self.count - shorter).astype(np.int64)) // 2
+        size = np.left_shift(1, np.log2(np.maximum(self.count - shorter, 1)).astype(np.int64)) // 2
         front = self._stretch(self._first, size)
         back = self._stretch(self._first + self.count - size, size)
         return mixed(front ^ _TAG), mixed(back ^ (_TAG << U64(1)))
 
 
-def deletion_keys(line: str, with_removals: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a line's variants with one word deleted, and with *with_removals* its own; and their parts."""
+def deletion_keys(line: str, with_removals: bool, near_words: int = NEAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a line's variants with one word deleted, and with *with_removals* its own; and their parts.
+
+    A line of fewer than *near_words* words can only be the shorter of two.
+    """
     words, _ = word_hashes(line.encode())
     n = len(words)
     up, down = powers.upto(n + 1)
@@ -89,6 +95,8 @@ def deletion_keys(line: str, with_removals: bool) -> tuple[np.ndarray, np.ndarra
     removed = _sequence_key(without, n - 1)
     changed = mixed(removed ^ mixed(np.arange(1, n + 1, dtype=U64) * _TAG))
     own = _sequence_key(sums[-1:], n)
+    if n < near_words:
+        changed, removed = changed[:0], removed[:0]
     kinds = [changed, own, np.unique(removed)] if with_removals else [changed]
     return np.concatenate(kinds), np.repeat(np.arange(len(kinds), dtype=np.int8), [len(k) for k in kinds])
 
@@ -103,8 +111,8 @@ def near(one: list[str], two: list[str]) -> bool:
     return one[same + (len(one) == len(two)) :] == two[same + 1 :]
 
 
-def _line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``doc_id, line_no, n_words, line, e0..e3``: the key of each line and of its ends."""
+def _line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int) -> DataFrame:
+    """``doc_id, line_no, n_words, line, e0..e3``: the key of each line and of its ends if it may have near ones."""
 
     def run(batches):
         for batch in slices(batches):
@@ -117,13 +125,14 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
                 edge = (found.count & (found.count - 1)) != 0  # the same ends either way
                 parts.append((
                     np.full(len(found.number), doc), found.number, found.count, found.keys().view(np.int64),
-                    *(e.view(np.int64) for e in (*longer, *shorter)), edge,
+                    *(e.view(np.int64) for e in (*longer, *shorter)), edge, found.count < near_words - 1,
                 ))
             if parts:
                 columns = [np.concatenate(c) for c in zip(*parts)]
-                once = columns.pop()
-                arrays = [pa.array(c) for c in columns[:6]]
-                arrays += [pa.array(c, mask=once) for c in columns[6:]]
+                few, once = columns.pop(), columns.pop()
+                arrays = [pa.array(c) for c in columns[:4]]
+                arrays += [pa.array(c, mask=few) for c in columns[4:6]]
+                arrays += [pa.array(c, mask=few | once) for c in columns[6:]]
                 arrays[1:3] = [a.cast(pa.int32()) for a in arrays[1:3]]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -153,7 +162,7 @@ def _line_texts(with_lines: DataFrame) -> DataFrame:
     return with_lines.select("text", "asked").mapInArrow(run, "line long, words string")
 
 
-def _variants(lines: DataFrame) -> DataFrame:
+def _variants(lines: DataFrame, near_words: int) -> DataFrame:
     """``variant, part, doc_id, line_no, line``: the deletion neighbourhood of each line."""
 
     def run(batches):
@@ -161,7 +170,7 @@ def _variants(lines: DataFrame) -> DataFrame:
             parts = []
             columns = (batch.column(i).to_pylist() for i in range(5))
             for words, removals, doc, number, line in zip(*columns):
-                keys, kinds = deletion_keys(words, removals)
+                keys, kinds = deletion_keys(words, removals, near_words)
                 parts.append((keys.view(np.int64), kinds, np.full(len(keys), doc),
                               np.full(len(keys), number, np.int32), np.full(len(keys), line)))
             if parts:
@@ -192,9 +201,9 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-             min_words: int = MIN_WORDS) -> DataFrame:
+             min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """Lines that go: ``doc_id, line_no, line`` (hash), ``kept_doc_id, kept_line_no, distance``."""
-    lines = storage.materialize(_line_table(docs, id_col, text_col, min_words), "lines")
+    lines = storage.materialize(_line_table(docs, id_col, text_col, min_words, near_words), "lines")
     place = F.struct("doc_id", "line_no")
     distinct = storage.materialize(
         lines.groupBy("line").agg(
@@ -225,7 +234,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
 
     # The earliest lines of each key, then the earliest partner of each line.
-    variants = storage.materialize(_variants(asked.join(texts, "line")), "variants")
+    variants = storage.materialize(_variants(asked.join(texts, "line"), near_words), "variants")
     row, is_own = F.struct("doc_id", "line_no", "line"), F.col("part") == _OWN
     earliest = variants.groupBy("variant").agg(
         F.min(F.when(is_own, row)).alias("shorter"), F.min(F.when(~is_own, row)).alias("others"),
@@ -263,14 +272,16 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                 min_words: int = MIN_WORDS, least_left_percent: int = 0) -> DataFrame:
+                 min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, least_left_percent: int = 0) -> DataFrame:
     """*docs* without the lines that go; same columns.
 
     A document that loses lines and is left with less than *least_left_percent*
     of its words, or with none, goes as a whole if the percentage is above 0; at
     0 every row stays, if with an empty text.
     """
-    gone = removals(docs, id_col=id_col, text_col=text_col, min_words=min_words).groupBy(
+    gone = removals(
+        docs, id_col=id_col, text_col=text_col, min_words=min_words, near_words=near_words
+    ).groupBy(
         F.col("doc_id").alias("_gone_id")
     ).agg(F.collect_list(F.struct("line_no", "line")).alias("_gone_lines"))
     at = docs.columns.index(text_col)

@@ -194,6 +194,17 @@ def test_line_dedup_finds_every_near_line(spark):
     assert {r.doc_id: r.kept_doc_id for r in got}[2] == 1
 
 
+def test_line_dedup_short_lines(spark):
+    nine = fixtures.sentence(random.Random(13), 9)
+    texts = ["one\n\na b", "One\n\na c", nine, nine + " ten", nine + " other", nine.replace(" ", " x ", 1), "p q\na  b",
+             " ".join(nine.split(" ")[:-1])]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.line_no, r.kept_doc_id, r.kept_line_no, r.distance) for r in linededup.removals(fixtures.frame(spark, rows)).collect()}
+    assert got == {(1, 0, 0, 0, 0), (3, 0, 2, 0, 1), (4, 0, 2, 0, 1), (5, 0, 2, 0, 1), (6, 1, 0, 2, 0)}
+    left = {r.doc_id: r.text for r in linededup.remove_lines(fixtures.frame(spark, rows)).collect()}
+    assert left[0] == texts[0] and left[1] == "\na c" and left[3] == "" and left[6] == "p q" and left[7] == texts[7]
+
+
 def test_line_dedup_repeated_rows_and_empty(spark):
     line = fixtures.sentence(random.Random(1), 20)
     rows = [(4, line, None, None, None), (4, line, None, None, None), (7, "x\n" + line, None, None, None)]
