@@ -66,3 +66,46 @@ SELECT conv_id, count(*) AS n_turns,
            + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+SQL["op13_phrase_collocations"] = r"""
+WITH said AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM said
+), spoken AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces
+), grams AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, len(words) + 1), lambda i:
+           list_transform(range(1, least(4, len(words) - i + 1) + 1), lambda k: words[i : i + k - 1])))) AS gram
+  FROM spoken
+), counts AS (
+  SELECT lang, gram, count(*) AS f FROM grams GROUP BY ALL
+), candidates AS (
+  SELECT lang, gram, f AS a FROM counts WHERE len(gram) > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, gram, a, unnest(range(1, len(gram))) AS k FROM candidates
+), scored AS (
+  SELECT c.lang, c.gram, c.a, k, x.f AS l, y.f AS r,
+         CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.gram = c.gram[1 : k]
+              JOIN counts y ON y.lang = c.lang AND y.gram = c.gram[k + 1 : len(c.gram)]
+), low AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, part, max(a) AS held
+  FROM (SELECT lang, a, unnest(flatten(list_transform(range(1, len(gram)), lambda i:
+          list_transform(range(2, least(len(gram) - 1, len(gram) - i + 1) + 1), lambda k: gram[i : i + k - 1])))) AS part
+        FROM candidates WHERE len(gram) > 2)
+  GROUP BY ALL
+), kept AS (
+  SELECT low.* FROM low LEFT JOIN inside ON inside.lang = low.lang AND part = gram
+  WHERE held IS NULL OR 100 * held < 80 * a
+), totals AS (
+  SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM spoken GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(gram, ' ')) AS rank,
+       array_to_string(gram, ' ') AS phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
