@@ -43,11 +43,11 @@ TOP = 2000
 LONGEST = 4
 #: Entries of a container before it bursts, and of a task's trie before it spills.
 BURST = 4_096
-MOST_ENTRIES = 400_000
-MOST_WORDS = 300_000
+MOST_ENTRIES = 300_000
+MOST_WORDS = 200_000
 #: Bits of a bitmap, as a power of two.
 LOG_BITS = 26
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 _HASHED_BYTES = 64
 _SEEDS = 4
 
@@ -125,55 +125,83 @@ class Inner(dict):
 
 
 class HatTrie:
-    """Counts of windows of word ids, all of one length."""
+    """Counts of windows of word ids, all of one length.
+
+    A container maps the rest of a window, an id or a tuple of ids, to its count.
+    """
 
     def __init__(self, burst: int = BURST, most: int = MOST_ENTRIES):
         self._root, self._burst, self._most, self._size = Inner(), burst, most, 0
 
-    def add(self, window: tuple[int, ...], n: int) -> None:
-        node, at = self._root, 0
-        while type(node) is Inner:
-            parent, key = node, window[at]
-            node = parent.get(key)
-            if node is None:
-                node = parent[key] = {}
-            at += 1
-        suffix = window[at:]
-        if suffix in node:
-            node[suffix] += n
+    def add(self, windows: np.ndarray, counts: np.ndarray) -> None:
+        """Add distinct windows, one row each, that are sorted."""
+        if not len(windows):
+            return
+        starts = np.flatnonzero(np.diff(windows[:, 0], prepend=~windows[0, 0]))
+        if windows.shape[1] == 2:
+            rests = windows[:, 1].tolist()
+        else:
+            rests = list(map(tuple, windows[:, 1:].tolist()))
+        counts, ends = counts.tolist(), [*starts[1:].tolist(), len(windows)]
+        for first, start, end in zip(windows[starts, 0].tolist(), starts.tolist(), ends):
+            self._add(self._root, first, rests[start:end], counts[start:end])
+
+    def _add(self, parent: Inner, first: int, rests: list, counts: list[int]) -> None:
+        node = parent.get(first)
+        if type(node) is Inner:
+            for rest, n in zip(rests, counts):
+                self._add(node, rest[0], [rest[1] if len(rest) == 2 else rest[1:]], [n])
             return
-        node[suffix] = n
-        self._size += 1
-        if len(node) > self._burst and len(suffix) > 1:
-            parent[key] = apart = Inner()
-            for (first, *rest), count in node.items():
-                apart.setdefault(first, {})[tuple(rest)] = count
+        if node is None:
+            node = parent[first] = dict(zip(rests, counts))
+            self._size += len(node)
+        else:
+            self._size -= len(node)
+            get = node.get
+            for rest, n in zip(rests, counts):
+                node[rest] = get(rest, 0) + n
+            self._size += len(node)
+        if len(node) > self._burst and type(rests[0]) is tuple:
+            parent[first] = apart = Inner()
+            for rest, n in node.items():
+                apart.setdefault(rest[0], {})[rest[1] if len(rest) == 2 else rest[1:]] = n
 
     def full(self) -> bool:
         return self._size > self._most
 
-    def spill(self, down_to: int) -> Iterator[list[tuple[int, ...]]]:
-        """Sorted runs ``(window.., n)`` of the largest subtrees, until *down_to* entries are left."""
+    def spill(self, down_to: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """A sorted run (windows, one row each, and their counts) of the largest subtrees, until *down_to* entries are left."""
         if self._size <= down_to:
-            return
+            return None
         sizes = {first: _entries(node) for first, node in self._root.items()}
+        firsts, lengths, rests, counts = [], [], [], []
         for first in sorted(sizes, key=sizes.get, reverse=True):
             if self._size <= down_to:
-                return
+                break
             self._size -= sizes[first]
-            yield sorted(_walk((first,), self._root.pop(first)))
+            firsts.append(first)
+            lengths.append(sizes[first])
+            _gather(self._root.pop(first), (), rests, counts)
+        run = np.column_stack([np.repeat(np.array(firsts, U64), lengths), np.array(rests, U64)])
+        order = np.lexsort(run.T[::-1])
+        return run[order], np.array(counts, np.int64)[order]
 
 
 def _entries(node: dict) -> int:
     return sum(map(_entries, node.values())) if type(node) is Inner else len(node)
 
 
-def _walk(prefix: tuple[int, ...], node: dict) -> Iterator[tuple[int, ...]]:
-    for key, value in node.items():
-        if type(node) is Inner:
-            yield from _walk((*prefix, key), value)
-        else:
-            yield (*prefix, *key, value)
+def _gather(node: dict, prefix: tuple[int, ...], rests: list, counts: list[int]) -> None:
+    """Append the rests of all windows below *node* and their counts."""
+    if type(node) is Inner:
+        for key, below in node.items():
+            _gather(below, (*prefix, key), rests, counts)
+        return
+    if prefix:
+        rests += [(*prefix, *rest) if type(rest) is tuple else (*prefix, rest) for rest in node]
+    else:
+        rests += node
+    counts += node.values()
 
 
 class Bitmap:
@@ -267,29 +295,18 @@ def _counted(rows: DataFrame, seed: int, known, pairs=None) -> DataFrame:
     width = 2 if pairs is None else LONGEST
     names = [*WORD_COLUMNS[:width], "n"]
 
-    def table(run: list[tuple]) -> pa.RecordBatch:
-        made = np.array(run, U64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(made[:, i].copy()) for i in range(width + 1)], names=names)
-
-    def merged(runs: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for run in runs:
-            held += run
-            if len(held) >= 10_000:
-                yield table(held)
-                held = []
-        if held:
-            yield table(held)
+    def table(windows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [np.ascontiguousarray(windows[:, i]).view(np.int64) for i in range(width)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, counts)], names=names)
 
     def run(batches):
         trie = HatTrie()
         for words in _chunks(batches, seed):
-            windows, counts = _windows(words, known.value, pairs and pairs.value)
-            for window, n in zip(map(tuple, windows.tolist()), counts.tolist()):
-                trie.add(window, n)
-                if trie.full():
-                    yield from merged(trie.spill(MOST_ENTRIES // 2))
-        yield from merged(trie.spill(0))
+            trie.add(*_windows(words, known.value, pairs and pairs.value))
+            if trie.full():
+                yield table(*trie.spill(MOST_ENTRIES // 4))
+        if rest := trie.spill(0):
+            yield table(*rest)
 
     counted = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
     return counted.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
