@@ -22,7 +22,7 @@ there are few rounds.
 
 Defined results: a null or empty text has no words; a null ``doc_id`` counts as an
 empty one in the hash; rows count as often as they stand, repeated ones too;
-other columns are not read; ties of frequency go to the smaller word in code-point
+a word of any length is compared as a whole; other columns are not read; ties of frequency go to the smaller word in code-point
 order; an empty table gives no words.
 """
 
@@ -47,7 +47,10 @@ FORM_FACTOR = 10
 DROP_ONE_IN = 31
 #: Words that may share a gram outside the dictionary.
 LIST_MOST = 16
+#: Lengths of grams: every one from the shortest on, and above 32 in steps of a half, so that the grams of a
+#: very long word take work in proportion to its length.
 SHORTEST_GRAM = 3
+GRAM_SIZES = [*range(SHORTEST_GRAM, 33), *(int(32 * 1.5**i) for i in range(1, 44))]
 MOST_WORDS = 200_000
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -108,10 +111,10 @@ def _back(length: Column) -> Column:
 
 
 def _with_bounds(words: DataFrame, list_most: int) -> DataFrame:
-    """Words with ``front`` and ``back``: the length of their longest dictionary gram at either end."""
-    length = F.char_length("word")
+    """Words with ``front`` and ``back``: how many of their letters at either end hold no gram outside the dictionary."""
+    length, sizes = F.char_length("word"), F.array(*map(F.lit, GRAM_SIZES))
     grams = words.select(
-        "word", F.explode(F.sequence(F.least(F.lit(SHORTEST_GRAM), length), length)).alias("size")
+        "word", F.explode(F.filter(sizes, lambda size: size <= length)).alias("size")
     ).select("word", "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("end")).select(
         "word", "size", "end",
         F.xxhash64("end", F.when(F.col("end") == 0, _front(F.col("size"))).otherwise(_back(F.col("size")))).alias("gram"),
@@ -120,9 +123,13 @@ def _with_bounds(words: DataFrame, list_most: int) -> DataFrame:
     longest = grams.join(dictionary, F.col("gram") == F.col("frequent")).groupBy(F.col("word").alias("of")).agg(
         *(F.max(F.when(F.col("end") == e, F.col("size"))).alias(name) for e, name in ((0, "front"), (1, "back")))
     )
-    floor = F.lit(SHORTEST_GRAM - 1)
+
+    def reach(end: str) -> Column:
+        further = F.filter(sizes, lambda size: size > F.coalesce(end, F.lit(0)))
+        return F.least(F.get(further, F.lit(0)) - 1, length)
+
     return words.join(longest, F.col("word") == F.col("of"), "left").select(
-        "word", "n", length.alias("length"), *(F.least(F.coalesce(c, floor), length).alias(c) for c in ("front", "back"))
+        "word", "n", length.alias("length"), *(reach(c).alias(c) for c in ("front", "back"))
     )
 
 

@@ -14,7 +14,7 @@ Groups of at most *group_rows* queries meet strips of about *strip_rows* entries
 one pair of them a task.  Equal vectors are one entry with its smallest ids.  Only
 the head, a matrix of squared dimension and one number go through the driver.
 
-Defined results: vectors that are null, hold a null or non-finite component, or
+Defined results: vectors that are null or empty, hold a null or non-finite component, or
 become non-finite when scaled take no part, nor do rows with a null id, nor
 vectors whose length is not the most common one (of equals the longest); zero
 vectors take part; of several rows with one id the smallest vector counts; a query
@@ -131,7 +131,7 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Dat
     floor = F.transform("v", lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x))
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-        .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
+        .filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite)
         .select("vec_id", floor.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
     )
 

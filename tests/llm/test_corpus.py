@@ -53,7 +53,7 @@ def test_check_sql(name, spark, duck, sf_dir):
 def test_registered():
     assert set(queries.QUERIES) <= set(entry.queries())
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
 # -- near-duplicates -----------------------------------------------------------
