@@ -41,6 +41,8 @@ from leadmill.llm.hashing import BASE, U64, mixed, powers, word_hashes
 MIN_WORDS = 1
 #: The longer of two near lines has so many words at least.
 NEAR_WORDS = 10
+#: Characters of texts that are hashed as one buffer.
+ROW_CHARS = 1 << 18
 _TAG = U64(0xD6E8FEB86659FD93)
 #: What a line is to a key: one of several that differ at a place, the shorter line, one with a word more.
 _CHANGED, _OWN, _REMOVED = range(3)
@@ -51,16 +53,24 @@ def _sequence_key(sums: np.ndarray, length) -> np.ndarray:
 
 
 class Lines:
-    """Hashes of the lines of one text that have enough words."""
+    """Hashes of the lines of one text, or of several in a row, that have enough words.
 
-    def __init__(self, text: str | None, min_words: int):
-        raw = (text or "").lower().encode()
+    Texts in a row are one buffer, as a text's end ends a line: a document costs
+    no more than its characters.  ``of`` is the place of each line's text.
+    """
+
+    def __init__(self, texts: list[str | None] | str | None, min_words: int):
+        texts = texts if isinstance(texts, list) else [texts]
+        raw = "\n".join(t or "" for t in texts).lower().encode()
         self._words, places = word_hashes(raw)
         breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
         of_line = np.searchsorted(breaks, places)
         number, first, count = np.unique(of_line, return_index=True, return_counts=True)
         long = count >= min_words
-        self.number, self._first, self.count = number[long], first[long], count[long]
+        number, self._first, self.count = number[long], first[long], count[long]
+        starts = np.cumsum([0, *((t or "").count("\n") + 1 for t in texts)])[:-1]
+        self.of = np.searchsorted(starts, number, side="right") - 1
+        self.number = number - starts[self.of]
         up, self._down = powers.upto(len(self._words) + 1)
         self._sums = np.concatenate([[U64(0)], np.cumsum(self._words * up[:-1])])
 
@@ -116,23 +126,13 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, nea
 
     def run(batches):
         for batch in slices(batches):
-            parts = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = Lines(text, min_words)
-                if doc is None or not len(found.number):
-                    continue
-                longer, shorter = found.ends(False), found.ends(True)
-                edge = (found.count & (found.count - 1)) != 0  # the same ends either way
-                parts.append((
-                    np.full(len(found.number), doc), found.number, found.count, found.keys().view(np.int64),
-                    *(e.view(np.int64) for e in (*longer, *shorter)), edge, found.count < near_words - 1,
-                ))
-            if parts:
-                columns = [np.concatenate(c) for c in zip(*parts)]
-                few, once = columns.pop(), columns.pop()
-                arrays = [pa.array(c) for c in columns[:4]]
-                arrays += [pa.array(c, mask=few) for c in columns[4:6]]
-                arrays += [pa.array(c, mask=few | once) for c in columns[6:]]
+            batch = batch.filter(batch.column(0).is_valid())
+            for doc, found in _in_rows(batch.column(0).to_numpy(), batch.column(1).to_pylist(), min_words):
+                once = (found.count & (found.count - 1)) != 0  # the same ends either way
+                few = found.count < near_words - 1
+                arrays = [pa.array(c) for c in (doc[found.of], found.number, found.count, found.keys().view(np.int64))]
+                arrays += [pa.array(e.view(np.int64), mask=few) for e in found.ends(False)]
+                arrays += [pa.array(e.view(np.int64), mask=few | once) for e in found.ends(True)]
                 arrays[1:3] = [a.cast(pa.int32()) for a in arrays[1:3]]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -143,6 +143,18 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, nea
     )
 
 
+def _in_rows(docs: np.ndarray, texts: list[str | None], min_words: int):
+    """Documents and the lines of their texts, about *ROW_CHARS* characters at once."""
+    start, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text or "") + 1
+        if size >= ROW_CHARS or at == len(texts) - 1:
+            found = Lines(texts[start : at + 1], min_words)
+            if len(found.number):
+                yield docs[start : at + 1], found
+            start, size = at + 1, 0
+
+
 def _line_texts(with_lines: DataFrame) -> DataFrame:
     """``line, words``: normalised text of the asked line numbers of each document."""
 
@@ -267,7 +279,8 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             F.coalesce("kept_line_no", "first.line_no").alias("kept_line_no"),
             is_near.cast("int").alias("distance"),
         )
-        .distinct()
+        # Repeated rows meet by document: a hot line's rows stay split among the tasks of the join.
+        .repartition("doc_id").distinct()
     )
 
 
