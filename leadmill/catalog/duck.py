@@ -72,8 +72,8 @@ def rule_denied(u: str) -> str:
 
 
 def host_listed(u: str, hosts=vocab.DEFAULT_DENY_HOSTS) -> str:
-    h = host(u)
-    return "(" + " OR ".join(f"{h} = {q(d)} OR ends_with({h}, {q('.' + d)})" for d in hosts) + ")"
+    listed = f"list_filter([{', '.join(map(q, hosts))}], lambda d: {host(u)} = d OR ends_with({host(u)}, '.' || d))"
+    return f"(len({listed}) > 0)"
 
 
 def denied(u: str) -> str:

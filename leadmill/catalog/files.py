@@ -363,15 +363,32 @@ def serp_json_parse(spark, sf):
     return results.json_results(table(spark, sf, "fx_serp_json"), ["query"]).select("query", "url", "title")
 
 
+def _rss_captures(spark, sf):
+    """One in seven captures also shows a bot check."""
+    checked = F.when(F.col("g") % 7 == 3, F.concat("body", F.lit("<!-- Are you a ROBOT? -->"))).otherwise(F.col("body"))
+    return table(spark, sf, "fx_serp_rss").withColumn("body", checked)
+
+
 @query(
     "serp_rss_parse",
     with_tables("fx_serp_rss")
     + """SELECT query, 'https://biz' || CAST(g AS STRING) || '.com/' AS url, 'Biz & Co ' || CAST(g AS STRING) AS title
-      FROM fx_serp_rss UNION ALL
-    SELECT query, 'https://biz' || CAST(g AS STRING) || '.com/team', '' FROM fx_serp_rss""",
+      FROM fx_serp_rss WHERE g % 7 <> 3 UNION ALL
+    SELECT query, 'https://biz' || CAST(g AS STRING) || '.com/team', '' FROM fx_serp_rss WHERE g % 7 <> 3""",
 )
 def serp_rss_parse(spark, sf):
-    return results.rss_results(table(spark, sf, "fx_serp_rss"), ["query"]).select("query", "url", "title")
+    return results.rss_results(_rss_captures(spark, sf), ["query"]).select("query", "url", "title")
+
+
+@query(
+    "serp_rss_first",
+    with_tables("fx_serp_rss")
+    + """SELECT query, g, 'https://biz' || CAST(g AS STRING) || '.com/' AS url FROM fx_serp_rss WHERE g % 7 <> 3""",
+)
+def serp_rss_first(spark, sf):
+    """The first distinct result of each capture."""
+    return results.rss_results(_rss_captures(spark, sf), ["query", "g"], limit=1).select("query", "g", "url")
+
 
 
 @query(

@@ -23,34 +23,47 @@ def url_rule_denied(spark, sf):
     return pages.select("site_seq", urls.url_rule_denied("url").alias("denied"))
 
 
+_LISTED_URLS = f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'https://' WHEN 1 THEN 'https://www.shop.' ELSE 'https://un' END
+    || [{", ".join(map(d.q, vocab.DEFAULT_DENY_HOSTS))}][doc_id % {len(vocab.DEFAULT_DENY_HOSTS)} + 1] || '/' AS url FROM documents"""
+
+
 @query(
     "url_denied",
     with_tables("fx_pages", "fx_leads")
     + f"""SELECT 'page' AS src, site_seq AS id, {d.denied('url')} AS denied FROM fx_pages
-    UNION ALL SELECT 'lead', seq, {d.denied('website')} FROM fx_leads""",
+    UNION ALL SELECT 'lead', seq, {d.denied('website')} FROM fx_leads
+    UNION ALL SELECT 'host', doc_id, {d.denied('url')} FROM ({_LISTED_URLS})""",
 )
 def url_denied(spark, sf):
+    """The last part spreads every listed host, with sub-domains and look-alikes, over the documents."""
     a = table(spark, sf, "fx_pages").select(
         F.lit("page").alias("src"), F.col("site_seq").alias("id"), deny.url_denied("url").alias("denied")
     )
     b = table(spark, sf, "fx_leads").select(
         F.lit("lead").alias("src"), F.col("seq").alias("id"), deny.url_denied("website").alias("denied")
     )
-    return a.unionByName(b)
+    hosts = F.array(*map(F.lit, vocab.DEFAULT_DENY_HOSTS))
+    k = F.col("doc_id")
+    start = F.when(k % 3 == 0, "https://").when(k % 3 == 1, "https://www.shop.").otherwise("https://un")
+    listed = table(spark, sf, "documents").select(
+        F.lit("host").alias("src"), F.col("doc_id").alias("id"),
+        deny.url_denied(F.concat(start, F.get(hosts, (k % len(vocab.DEFAULT_DENY_HOSTS)).cast("int")), F.lit("/"))).alias("denied"),
+    )
+    return a.unionByName(b).unionByName(listed)
 
 
 @query(
     "host_deny_join",
     with_tables("fx_pages", "fx_mx")
     + f"""SELECT site_seq, url FROM fx_pages p WHERE NOT EXISTS (SELECT 1 FROM
-      (SELECT 'zillow.com' AS host UNION ALL SELECT 'uk' UNION ALL
+      (SELECT unnest([{", ".join(map(d.q, vocab.DEFAULT_DENY_HOSTS))}]) AS host UNION ALL SELECT 'uk' UNION ALL
        SELECT domain FROM fx_mx WHERE has_mx = false) b
       WHERE {d.host('p.url')} = b.host OR ends_with({d.host('p.url')}, '.' || b.host))""",
 )
 def host_deny_join(spark, sf):
-    """Deny list given as a table that grows with the data."""
+    """Deny list given as a table: the whole default list and one part that grows with the data."""
     listed = table(spark, sf, "fx_mx").filter("has_mx = false").select(F.col("domain").alias("host"))
-    fixed = spark.createDataFrame([("zillow.com",), ("uk",)], "host string")
+    fixed = spark.createDataFrame([(h,) for h in (*vocab.DEFAULT_DENY_HOSTS, "uk")], "host string")
     pages = table(spark, sf, "fx_pages").select("site_seq", "url")
     return deny.drop_denied_hosts(pages, "url", listed.unionByName(fixed))
 

@@ -34,7 +34,8 @@ STRICT_MARKUP_PATTERN = "(?is)" + "|".join(
     [_element("noscript"), _element("svg"), _element("head"), _TAG]
 )
 ANCHOR_TAG_PATTERN = rf"(?is)<a\s{_ATTRS}"
-ANCHOR_PATTERN = rf"(?is)<a\s{_ATTRS}.*?</a\s*>"
+# An anchor ends at its end tag or where the next one starts, so no text is read twice.
+ANCHOR_PATTERN = rf"(?is)<a\s{_ATTRS}(?:(?!<a\s|</a\s*>).)*+"
 HREF_PATTERN = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 OG_TAG_PATTERN = r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']?og:site_name\b[^>]*>"""
 CONTENT_PATTERN = r"""(?is)\scontent\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""

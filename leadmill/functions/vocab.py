@@ -1,7 +1,7 @@
 """Word lists, lookup values and patterns.
 
 Everything in this module is data that results depend on, stated as plain
-text.  No logic lives here.  Lists that a deployment will want to replace (the
+text; the deny hosts stand in a data file beside it.  No logic lives here.  Lists that a deployment will want to replace (the
 niches, the deny hosts) are only defaults: every operator that uses them takes
 them as a parameter.
 """
@@ -9,6 +9,7 @@ them as a parameter.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from importlib.resources import files
 
 # --------------------------------------------------------------------------
 # E-mail, phone and social patterns
@@ -148,30 +149,17 @@ GUESSED_CONTACT_PATHS = (
     "/people", "/impressum", "/imprint",
 )
 
-# Default deny hosts: well-known platforms that are never a business lead.
-# This is a starter list; a deployment passes its own (any length) as a
-# sequence or as a table, see operators.deny.
-DEFAULT_DENY_HOSTS = (
-    # social and content platforms
-    "facebook.com", "github.com", "instagram.com", "linkedin.com",
-    "medium.com", "pinterest.com", "quora.com", "reddit.com",
-    "stackoverflow.com", "tiktok.com", "tumblr.com", "twitter.com",
-    "vimeo.com", "wikipedia.org", "wordpress.com", "x.com", "youtube.com",
-    # search engines and portals
-    "baidu.com", "bing.com", "duckduckgo.com", "ecosia.org", "google.com",
-    "msn.com", "search.brave.com", "startpage.com", "yahoo.com", "yandex.com",
-    # marketplaces, listings, jobs, reviews
-    "airbnb.com", "alibaba.com", "amazon.com", "booking.com",
-    "craigslist.org", "ebay.com", "expedia.com", "glassdoor.com",
-    "indeed.com", "realtor.com", "redfin.com", "rightmove.co.uk",
-    "tripadvisor.com", "trulia.com", "trustpilot.com", "walmart.com",
-    "yellowpages.com", "yelp.com", "zillow.com", "zoopla.co.uk",
-    # corporations and franchises
-    "accenture.com", "adobe.com", "apple.com", "cbre.com", "century21.com",
-    "deloitte.com", "ey.com", "ibm.com", "kpmg.com", "mckinsey.com",
-    "microsoft.com", "oracle.com", "pwc.com", "remax.com", "salesforce.com",
-    "shopify.com",
-)
+# Default deny hosts, from a data file; a deployment passes its own (any length)
+# as a sequence or as a table, see operators.deny.
+
+
+def packaged_hosts(name: str) -> tuple[str, ...]:
+    """Hosts of a data file of the package, one a line, without comments."""
+    lines = files("leadmill").joinpath("data", name).read_text("utf-8").splitlines()
+    return tuple(line.strip() for line in lines if line.strip() and not line.startswith("#"))
+
+
+DEFAULT_DENY_HOSTS = packaged_hosts("deny_hosts.txt")
 
 # --------------------------------------------------------------------------
 # Phrase lists for pages, titles and names (substring tests)

@@ -176,8 +176,15 @@ def json_results(captures: DataFrame, keys: list[str], body: str = "body") -> Da
     return _organic(clean, keys, None)
 
 
-def rss_results(captures: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
-    """Results of an RSS capture: every ``item`` with its title and link."""
+def rss_results(
+    captures: DataFrame, keys: list[str], body: str = "body", limit: int | None = None
+) -> DataFrame:
+    """Results of an RSS capture: every ``item`` with its title and link.
+
+    Empty captures and those that show a bot check have none; *limit* keeps the
+    first so many distinct results of each key.
+    """
+    captures = captures.filter(~html.is_challenge_page(body))
     items = F.regexp_extract_all(F.col(body), F.lit(r"(?is)<item\b[^>]*>.*?</item\s*>"), F.lit(0))
     rows = captures.select(*keys, F.posexplode_outer(items).alias("rank", "item"))
     parsed = rows.withColumn("r", F.from_xml("item", "title string, link string"))
@@ -187,4 +194,4 @@ def rss_results(captures: DataFrame, keys: list[str], body: str = "body") -> Dat
         trim_ws(F.coalesce("r.link", F.lit(""))).alias("url"),
         trim_ws(F.coalesce("r.title", F.lit(""))).alias("title"),
     )
-    return _organic(clean, keys, None)
+    return _organic(clean, keys, limit)

@@ -1,12 +1,14 @@
 """Literal cases of the column functions, each evaluated in one job."""
 
 import base64
+import time
 
 from pyspark.sql import functions as F
 
 from leadmill.functions import contacts, html, leads, phrases, urls, vocab
 from leadmill.functions.text import empty_list
 from leadmill.operators import deny, enrich, gate, rank
+from leadmill.sources import results
 
 
 def value(spark, *cols):
@@ -247,3 +249,46 @@ def test_html(spark):
         "Acme & Co Hi there Contact us x draw café AB &lt;", "Hi there Contact us x café AB &lt;",
         ["/c?a=1&b=2", "/plain"], ["/c?a=1&b=2"], "Acme & Co", "My-Biz2Go", "Unknown", "Öko-Haus",
     ]
+
+
+def test_every_default_host_is_denied_with_its_sub_domains(spark):
+    hosts = [h for h in vocab.DEFAULT_DENY_HOSTS if h == h.lower()]
+    assert len(vocab.DEFAULT_DENY_HOSTS) == len(set(vocab.DEFAULT_DENY_HOSTS)) == 363 and len(hosts) == 362
+    urls = [f"https://{start}{h}/" for h in hosts for start in ("", "www.", "a.b.")]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert df.filter(~deny.host_denied("url")).isEmpty()
+    table = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert deny.drop_denied_hosts(df, "url", table).isEmpty()
+    other = spark.createDataFrame([(f"https://un{h}/",) for h in hosts], "url string")
+    assert other.filter(deny.host_denied("url")).isEmpty()
+    assert deny.drop_denied_hosts(other, "url", table).count() == len(hosts)
+
+
+def test_rss_challenge_pages_and_first_results(spark):
+    def feed(*links):
+        return "<rss>" + "".join(f"<item><title>t</title><link>{x}</link></item>" for x in links) + "</rss>"
+
+    rows = [
+        (1, feed("https://a.com/", "https://a.com/", "ftp://b.com/", "https://c.com/", "https://d.com/")),
+        (2, feed("https://e.com/") + "<p>Please Enable JavaScript</p>"), (3, ""), (4, None), (5, feed("https://f.com/")),
+    ]
+    captures = spark.createDataFrame(rows, "id int, body string")
+    got = results.rss_results(captures, ["id"], limit=2).orderBy("id", "rank").collect()
+    assert [(r.id, r.url) for r in got] == [(1, "https://a.com/"), (1, "https://c.com/"), (5, "https://f.com/")]
+
+
+def test_unclosed_anchors_end_at_the_next_one(spark):
+    page = '<a href="/kontakt">Kontakt<a href="/b">News</a> about us <a href="/team">Our <b>team</b>'
+    assert value(spark, html.contact_links(F.lit(page))) == [["/kontakt", "/team"]]
+
+
+def test_unclosed_anchors_take_linear_time(spark):
+    def seconds(n):
+        page = F.concat(F.repeat(F.lit('<a href="/x">Contact'), n), F.lit('<a href="/last">Team'))
+        start = time.perf_counter()
+        row = spark.range(1).select(html.contact_links(F.concat(page, F.col("id").cast("string"))).alias("links")).first()
+        assert row.links == ["/x"]
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(50_000) < 10  # 1 MB
