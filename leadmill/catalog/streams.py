@@ -180,6 +180,44 @@ def stream_cache_ttl(spark, sf):
     return _table_of(valid, spark, "valid")
 
 
+_REFRESH = f"""base AS (
+  SELECT left(sha256(query), 16) AS query_key, url, TIMESTAMP '{CLOCK}' - to_hours(CAST(min(hours_ago) AS BIGINT)) AS first,
+         40 + 20 * (CAST(min(hours_ago) AS BIGINT) // 40 % 5) AS step FROM fx_cache GROUP BY query, url
+), captures AS (
+  SELECT query_key, url, first + to_hours(k * step) AS at_time FROM base, (SELECT unnest(range(5)) AS k)
+), taken AS (
+  SELECT query_key, url, first AS at_time FROM base
+  UNION ALL
+  SELECT query_key, url, next FROM (
+    SELECT t.query_key, t.url, min(c.at_time) AS next FROM taken t JOIN captures c
+      ON c.query_key = t.query_key AND c.url = t.url AND c.at_time >= t.at_time + to_hours({vocab.CACHE_HOURS})
+    GROUP BY t.query_key, t.url, t.at_time)
+)"""
+
+
+@query(
+    "stream_cache_refresh",
+    with_tables("fx_cache", extra=_REFRESH).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT query_key, url, strftime(at_time, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM taken",
+)
+def stream_cache_refresh(spark, sf):
+    """Every URL is captured five times, in as many triggers; taken again only when 168 hours are over."""
+    step = F.lit(40) + F.lit(20) * (F.floor(F.col("ago") / 40) % 5)
+    first = table(spark, sf, "fx_cache").groupBy("query", "url").agg(F.min("hours_ago").cast("int").alias("ago"))
+    captures = first.select(
+        "query", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"),
+        F.array(F.struct("url", F.lit("").alias("title"))).alias("urls"), "ago",
+    ).select(
+        "query", "urls", "k",
+        (F.lit(CLOCK).cast("timestamp") + F.make_dt_interval(hours=(F.col("k") * step - F.col("ago")).cast("int"))).alias("fetched_at"),
+    )
+    stream = _in_waves(captures, "k", storage.new_path(spark, "captures"), waves=5).drop("k")
+    taken = incremental.refreshed_results(stream, late_hours=4 * vocab.CACHE_HOURS)
+    return _table_of(taken, spark, "taken").select(
+        "query_key", "url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at")
+    )
+
+
 @query("stream_log_metrics", with_tables("fx_log", extra=_PARSED) + f"SELECT {_METRICS}")
 def stream_log_metrics(spark, sf):
     """Log lines read as a text stream; each starts with its time and id."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -98,6 +99,47 @@ def valid_results(stream: DataFrame, hours: int = vocab.CACHE_HOURS) -> DataFram
     return rows.dropDuplicatesWithinWatermark(["query_key", "url"])
 
 
+def refreshed_results(
+    stream: DataFrame, hours: int = vocab.CACHE_HOURS, late_hours: int | None = None
+) -> DataFrame:
+    """Cached results, each URL of a query again once its lifetime is over.
+
+    *stream*: ``query, fetched_at, urls``.  A result is taken if none was in the
+    *hours* before it, by the times they were fetched at, not by when they arrive.
+    Rows that come more than *late_hours* (the lifetime, by default) behind the
+    latest are too late.  The state of a result is one number, which a timer drops
+    once the watermark has passed its lifetime, so the state holds live results only.
+    """
+    life = hours * 3_600_000_000
+    late = hours if late_hours is None else late_hours
+    rows = stream.withWatermark("fetched_at", f"{late} hours").select(
+        cache_key("query").alias("query_key"), "fetched_at",
+        F.unix_micros("fetched_at").alias("at"), F.explode("urls").alias("u"),
+    ).select("query_key", "u.url", "u.title", "fetched_at", "at").filter("at IS NOT NULL")
+
+    def take(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        taken = []
+        for at, title in sorted((at, title or "") for b in batches for at, title in zip(b["at"], b["title"])):
+            if last is None or at >= last + life:
+                taken.append((*key, title, at))
+                last = at
+        over = (last + life) // 1000
+        if over > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(over)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(taken, columns=["query_key", "url", "title", "at"])
+
+    return rows.groupBy("query_key", "url").applyInPandasWithState(
+        take, "query_key string, url string, title string, at long", "last long", "append", "EventTimeTimeout"
+    ).select("query_key", "url", "title", F.timestamp_micros("at").alias("fetched_at"))
+
+
 def log_state(stream: DataFrame, order: Column) -> DataFrame:
     """Running per-niche state of a log stream with a ``line`` column.
 

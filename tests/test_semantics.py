@@ -1,6 +1,7 @@
 """Folds, merges and ranking against small models written here; skew; files;
 streams."""
 
+import datetime as dt
 import json
 import random
 
@@ -287,3 +288,23 @@ def test_result_blocks_end(spark):
     for r in results.html_results(df, ["engine"]).collect():
         got.setdefault(r.engine, []).append(r.url)
     assert got == {e: u for e, _, u in pages if u}
+
+
+def test_cached_results_are_taken_again_after_their_lifetime(spark, tmp_path):
+    schema = "query string, fetched_at timestamp, urls array<struct<url: string, title: string>>"
+    start = dt.datetime(2024, 6, 1, tzinfo=dt.UTC)
+    for hours in ((167, 100, 0), (168, 300), (336,), (900, 905)):
+        rows = [("q", start + dt.timedelta(hours=h), [("https://a.com/", "A")]) for h in hours]
+        rows += [("q", start + dt.timedelta(hours=h), [("https://b.com/", None)]) for h in hours if h in (0, 900)]
+        rows.append((None, None, None))
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = (
+            incremental.refreshed_results(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).selectExpr("url", "unix_micros(fetched_at) AS at")
+    base = int(start.timestamp()) * 1_000_000
+    got = sorted((r.url, (r.at - base) // 3_600_000_000) for r in out.collect())
+    assert got == [("https://a.com/", h) for h in (0, 168, 336, 900)] + [("https://b.com/", h) for h in (0, 900)]
