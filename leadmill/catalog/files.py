@@ -316,6 +316,27 @@ def cache_key(spark, sf):
     return spark.read.parquet(path).select("query", "query_key")
 
 
+@query(
+    "cache_log",
+    with_tables("fx_cache")
+    + """SELECT query, left(sha256(query), 16) AS query_key, url,
+      CASE WHEN hours_ago % 3 = 0 THEN 'new' WHEN hours_ago % 2 = 0 THEN 'newer' ELSE title END AS title FROM fx_cache""",
+)
+def cache_log(spark, sf):
+    """A cache kept as a log, put in three calls; the last one merges its pieces."""
+    path = storage.new_path(spark, "cache-log")
+    docs = _cache_docs(spark, sf)
+    hours = (F.lit(CLOCK).cast("timestamp").cast("long") - F.col("fetched_at").cast("timestamp").cast("long")) / 3600
+
+    def again(title):
+        return docs.withColumn("urls", F.transform("urls", lambda u: F.struct(u["url"].alias("url"), F.lit(title).alias("title"))))
+
+    writers.log_cache(spark, docs, path)
+    writers.log_cache(spark, again("newer").filter(hours % 2 == 0), path)
+    writers.log_cache(spark, again("new").filter(hours % 3 == 0), path, max_pieces=2)
+    return writers.read_cache_log(spark, path).select("query", "query_key", F.inline("urls"))
+
+
 # -- search results -----------------------------------------------------------
 
 

@@ -17,6 +17,7 @@ from leadmill.functions import leads, vocab
 from leadmill.functions.text import empty_list, join_list
 from leadmill.operators.merge import best_first, merge_leads, newest_best_first, with_quality
 from leadmill.operators.views import purge
+from leadmill.sources import keyed_log
 from leadmill.sources.readers import read_leads
 
 _BOM = "﻿"
@@ -206,16 +207,45 @@ def cache_key(query: Column | str) -> Column:
     return F.substring(F.sha2(F.col(query) if isinstance(query, str) else query, 256), 1, 16)
 
 
-def upsert_cache(spark: SparkSession, docs: DataFrame, path: str) -> None:
-    """Replace the entries of the queries in *docs*, keep all others.
-
-    Of several documents of a query the one fetched last is written.
-    """
+def _last_documents(docs: DataFrame) -> DataFrame:
+    """One document per query: the one fetched last."""
     keyed = docs.select(cache_key("query").alias("query_key"), "query", "fetched_at", "urls")
     last = F.max(F.struct("fetched_at", "query", "urls"))
-    new = keyed.groupBy("query_key").agg(last.alias("last")).select(
+    return keyed.groupBy("query_key").agg(last.alias("last")).select(
         "query_key", "last.query", "last.fetched_at", "last.urls"
     )
+
+
+def log_cache(
+    spark: SparkSession, docs: DataFrame, path: str, max_pieces: int = keyed_log.MAX_PIECES
+) -> None:
+    """Replace the entries of the queries in *docs* in a cache kept as a log.
+
+    Writes these entries only, however large the cache is; ``read_cache_log`` reads it.
+    Of several documents of a query the one fetched last is written; the document
+    of a later call replaces that of an earlier one, as a file would be replaced.
+    """
+    earlier = keyed_log.last_commit(spark, path)
+    number = 0 if earlier is None else earlier.number + 1
+    changed = _last_documents(docs).withColumns({"_key": F.col("query_key"), "_gone": F.lit(False)})
+    keyed_log.put(spark, path, number, changed, max_pieces=max_pieces)
+
+
+def read_cache_log(spark: SparkSession, path: str) -> DataFrame:
+    """``query_key, query, fetched_at, urls`` of a cache that ``log_cache`` wrote."""
+    found = keyed_log.read(spark, path)
+    if found is None:
+        raise FileNotFoundError(path)
+    return found
+
+
+def upsert_cache(spark: SparkSession, docs: DataFrame, path: str) -> None:
+    """Replace the entries of the queries in *docs*, keep all others.
+
+    Of several documents of a query the one fetched last is written.  The folder
+    is plain Parquet and is rewritten; ``log_cache`` is the form for a large cache.
+    """
+    new = _last_documents(docs)
     if storage.exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path)
         new = new.unionByName(old.join(new.select("query_key"), "query_key", "left_anti"))

@@ -57,6 +57,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    fs, jpath = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, jpath = _fs(spark, path)
+    fs.delete(jpath, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    fs, jpath = _fs(spark, path)
+    opened = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
+    finally:
+        opened.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under another name, then give it its own: never seen in part."""
+    staged = f"{path}.{uuid.uuid4().hex[:8]}"
+    fs, source = _fs(spark, staged)
+    opened = fs.create(source)
+    try:
+        opened.write(bytearray(text, "utf-8"))
+    finally:
+        opened.close()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs.delete(target, False)
+    if not fs.rename(source, target):
+        raise OSError(f"{staged} could not be moved to {path}")
+
+
 def file_stats(spark: SparkSession, path: str) -> tuple[int, int] | None:
     """(modified at in ms, size in bytes) of a file or folder, None if absent."""
     fs, jpath = _fs(spark, path)

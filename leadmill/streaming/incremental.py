@@ -8,6 +8,7 @@ large key sets, use the RocksDB state store
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -18,13 +19,21 @@ from pyspark.sql.streaming.query import StreamingQuery
 from leadmill import storage
 from leadmill.functions import urls, vocab
 from leadmill.operators import logs
+from leadmill.sources import keyed_log
 from leadmill.sources.writers import cache_key, merged_export
 
 
 def current_leads(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Latest committed version of a lead table (older than *before*)."""
-    found = [v for v in storage.versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(storage.version_path(path, found[-1])) if found else None
+    """Last committed state of a lead table (older than batch *before*)."""
+    return keyed_log.read(spark, path, before)
+
+
+def _list_print(deny_hosts: Sequence[str] | DataFrame) -> str:
+    """A short print of a deny list: another list, another print."""
+    if not isinstance(deny_hosts, DataFrame):
+        return hashlib.sha256("\n".join(sorted(set(deny_hosts))).encode()).hexdigest()
+    hosts = deny_hosts.select("host").distinct()
+    return "-".join(map(str, hosts.agg(F.count("host"), F.bit_xor(F.xxhash64("host"))).first()))
 
 
 def upsert_batch(
@@ -32,26 +41,43 @@ def upsert_batch(
     batch_id: int,
     path: str,
     deny_hosts: Sequence[str] | DataFrame = vocab.DEFAULT_DENY_HOSTS,
+    parts: int = keyed_log.PARTS,
 ) -> None:
-    """Merge one batch into the lead table at *path*.
+    """Merge one batch into the lead table at *path*, a ``keyed_log`` by host.
 
-    Batch *n* reads the last version before *n* and writes version *n*, so a
-    batch that is run again after a failure gives the same table.
+    Only the hosts of the batch are merged and written: of the table, the parts
+    that hold them are read.  Batch *n* starts from the last commit before *n*, so
+    a batch that is run again after a failure gives the same table.  When the deny
+    list is another one than last time, every host goes through it again.
     """
     spark = leads_df.sparkSession
-    old = current_leads(spark, path, before=batch_id)
-    if old is None:
-        old = leads_df.limit(0)  # the first batch is reduced to one lead per host, too
-    else:
-        # A merged table keeps the place its hosts first had as their order.
-        old = old.drop("seq").withColumnRenamed("place", "seq")
-    merged = merged_export(leads_df, old, deny_hosts)
-    place = F.struct(
-        F.col("first_seen.seq.file").alias("file"), F.col("first_seen.seq.row").alias("row")
-    )
-    merged = merged.withColumn("place", place).drop("first_seen")
-    merged.write.mode("overwrite").parquet(storage.version_path(path, batch_id))
-    storage.prune_versions(spark, path)
+    earlier = keyed_log.last_commit(spark, path, before=batch_id)
+    key = urls.host_key("website")
+    leads_df = leads_df.persist()
+    tag = _list_print(deny_hosts)
+    try:
+        hosts = leads_df.select(key.alias("_key")).filter("_key != ''").distinct()
+        if earlier is None:
+            old = leads_df.limit(0)  # the first batch is reduced to one lead per host, too
+        else:
+            if earlier.tag == tag:
+                old = keyed_log.rows(spark, path, earlier, hosts)
+            else:
+                old = keyed_log.rows(spark, path, earlier)
+                hosts = hosts.union(old.select("_key")).distinct()
+            # A merged table keeps the place its hosts first had as their order.
+            old = old.drop("_key", "seq").withColumnRenamed("place", "seq")
+        merged = merged_export(leads_df, old, deny_hosts)
+        place = F.struct(
+            F.col("first_seen.seq.file").alias("file"), F.col("first_seen.seq.row").alias("row")
+        )
+        merged = merged.withColumn("place", place).drop("first_seen").withColumns(
+            {"_key": key, "_gone": F.lit(False)}
+        )
+        changed = hosts.join(merged, "_key", "left").withColumn("_gone", F.col("_gone").isNull())
+        keyed_log.put(spark, path, batch_id, changed, tag, parts)
+    finally:
+        leads_df.unpersist()
 
 
 def upsert_stream(
