@@ -29,7 +29,7 @@ WITH docs AS (
   SELECT host, count(DISTINCT text) AS host_docs FROM docs GROUP BY host
 ), above AS (
   SELECT host, norm FROM held JOIN hosts USING (host)
-  WHERE line_docs > 20 AND line_docs * 100 > host_docs * 10
+  WHERE line_docs > 20 OR (line_docs >= 3 AND line_docs * 100 > host_docs * 5)
 ), lost AS (
   SELECT rid, sum(n) AS removed_words FROM spoken JOIN above USING (host, norm) GROUP BY rid
 ), twins AS (

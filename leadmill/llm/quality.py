@@ -14,7 +14,8 @@ join key, which adaptive execution splits.
 
 Defined results: a null text has no words and fails the base rules; a null host
 counts as the empty host; repeated rows get the same verdict each; a null
-``doc_id`` is carried along; an empty table gives an empty table.
+``doc_id`` is carried along; other columns are not read, and ``clean`` keeps them as
+they are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ SYMBOLS = "[#*$%&|<>]"
 #: Base rules: fewest words, and the most words in percent that repeated windows may cover.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is above the limit in more than so many documents of a host ...
-MIN_LINE_DOCS = 20
-#: ... and in more than this percentage of them.
-MAX_LINE_PERCENT = 10
+#: A line is above the limit in more than so many documents of a host, however large it is ...
+MAX_LINE_DOCS = 20
+#: ... or in more than this percentage of them, for small hosts, and at least in so many.
+MAX_LINE_PERCENT = 5
+MIN_LINE_DOCS = 3
 #: A document is depleted when more than this percentage of its words is removed.
 MAX_REMOVED_PERCENT = 50
 
@@ -128,7 +130,8 @@ def line_key(words: Column) -> Column:
 
 
 def line_removals(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
-                  min_line_docs: int = MIN_LINE_DOCS, max_line_percent: int = MAX_LINE_PERCENT) -> DataFrame:
+                  max_line_docs: int = MAX_LINE_DOCS, max_line_percent: int = MAX_LINE_PERCENT,
+                  min_line_docs: int = MIN_LINE_DOCS) -> DataFrame:
     """``host, content, removed_words, removed_lines`` of every text that loses a line.
 
     *content* is the hash of the text and *removed_lines* holds line hashes.
@@ -151,10 +154,11 @@ def line_removals(docs: DataFrame, *, text_col: str = "text", source_col: str =
     hosts = docs.select(_host(source_col).alias("host"), _content(text_col).alias("content")).groupBy(
         "host"
     ).agg(F.count_distinct("content").alias("host_docs"))
+    share = F.col("line_docs") * 100 > F.col("host_docs") * max_line_percent
     above = (
-        held.filter(F.col("line_docs") > min_line_docs)
+        held.filter(F.col("line_docs") >= min(min_line_docs, max_line_docs + 1))
         .join(hosts, "host")
-        .filter(F.col("line_docs") * 100 > F.col("host_docs") * max_line_percent)
+        .filter((F.col("line_docs") > max_line_docs) | (share & (F.col("line_docs") >= min_line_docs)))
         .select("host", "line")
     )
     return (
@@ -165,7 +169,8 @@ def line_removals(docs: DataFrame, *, text_col: str = "text", source_col: str =
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-          min_line_docs: int = MIN_LINE_DOCS, max_line_percent: int = MAX_LINE_PERCENT,
+          max_line_docs: int = MAX_LINE_DOCS, max_line_percent: int = MAX_LINE_PERCENT,
+          min_line_docs: int = MIN_LINE_DOCS,
           max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
     """Counts and verdict of every document, one row per row of *docs*.
 
@@ -178,7 +183,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     )
     lost = line_removals(
         docs, text_col=text_col, source_col=source_col,
-        min_line_docs=min_line_docs, max_line_percent=max_line_percent,
+        max_line_docs=max_line_docs, max_line_percent=max_line_percent, min_line_docs=min_line_docs,
     ).select("host", "content", "removed_words")
     return (
         features.join(lost, ["host", "content"], "left")
@@ -203,12 +208,13 @@ def depleted(max_removed_percent: int) -> Column:
 
 
 def clean(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
-          min_line_docs: int = MIN_LINE_DOCS, max_line_percent: int = MAX_LINE_PERCENT,
+          max_line_docs: int = MAX_LINE_DOCS, max_line_percent: int = MAX_LINE_PERCENT,
+          min_line_docs: int = MIN_LINE_DOCS,
           max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
     """The documents that pass, without the lines above the limit; same columns."""
     lost = line_removals(
         docs, text_col=text_col, source_col=source_col,
-        min_line_docs=min_line_docs, max_line_percent=max_line_percent,
+        max_line_docs=max_line_docs, max_line_percent=max_line_percent, min_line_docs=min_line_docs,
     ).select(
         F.col("host").alias("_q_host"), F.col("content").alias("_q_content"),
         F.col("removed_words").alias("_q_removed"), F.col("removed_lines").alias("_q_lines"),
