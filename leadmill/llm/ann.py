@@ -34,9 +34,8 @@ from leadmill import storage
 
 CENTROIDS = 32
 SAMPLE_ROWS = 16_384
-#: Part of all entries that a query visits, and how many at least.
-PROBE_SHARE = 0.55
-PROBE_LEAST = 4_096
+#: Part of all entries that a query visits, at every size of the table.
+PROBE_SHARE = 0.65
 BLOCK_ROWS = 4_096
 _ROUNDS = 8
 
@@ -101,9 +100,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "vec_id",
            vector_col: str = "embedding", centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS,
-           probe_share: float = PROBE_SHARE, probe_least: int = PROBE_LEAST) -> DataFrame:
+           probe_share: float = PROBE_SHARE) -> DataFrame:
     """The *k* nearest rows of each row with *is_query* (a condition on ``vec_id``).
 
+    A query visits cells until they hold *probe_share* of the entries, *k* + 1 at least;
+    1 visits all and is exact.
     Returns ``query_id, rank, vec_id, score``; nearest first, ties to the smaller id.
     """
     if not 0 < centroids < 63:
@@ -135,7 +136,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "
     sizes = np.zeros((len(books[0]), len(books[1])), np.int64)
     for c1, c2, n in indexed.groupBy("c1", "c2").count().collect():
         sizes[c1, c2] = n
-    enough = max(probe_least, probe_share * sizes.sum())
+    enough = max(k + 1, probe_share * sizes.sum())  # k answers, and the query itself
 
     def walk(batches):
         for batch in batches:
