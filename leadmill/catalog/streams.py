@@ -12,7 +12,7 @@ from leadmill import storage
 from leadmill.catalog import duck as d
 from leadmill.catalog.derived import CLOCK, leads_table, table, with_tables
 from leadmill.catalog.registry import query
-from leadmill.functions import vocab
+from leadmill.functions import urls, vocab
 from leadmill.functions.text import join_list
 from leadmill.operators import logs
 from leadmill.streaming import incremental
@@ -218,6 +218,41 @@ def stream_cache_refresh(spark, sf):
     )
 
 
+_SEEN = f"""seen AS (
+  SELECT {d.host('url')} AS domain, url, TIMESTAMP '{CLOCK}' + to_hours(k * step) AS at_time
+  FROM (SELECT url, 40 + 20 * (length({d.host('url')}) % 5) AS step FROM fx_pages), (SELECT unnest(range(5)) AS k)
+  WHERE {d.host('url')} NOT IN (SELECT {d.host('website')} FROM fx_prior WHERE website <> '')
+), taken AS (
+  SELECT domain, min(at_time) AS at_time FROM seen GROUP BY domain
+  UNION ALL
+  SELECT domain, next FROM (
+    SELECT t.domain, min(s.at_time) AS next FROM taken t JOIN seen s
+      ON s.domain = t.domain AND s.at_time >= t.at_time + to_hours({vocab.CACHE_HOURS}) GROUP BY t.domain, t.at_time)
+)"""
+
+
+@query(
+    "stream_domain_lifetime",
+    with_tables("fx_pages", "fx_prior", extra=_SEEN).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """SELECT domain, min(url) AS url, strftime(at_time, '%Y-%m-%d %H:%M:%S') AS seen_at
+      FROM taken JOIN seen USING (domain, at_time) GROUP BY domain, at_time""",
+)
+def stream_domain_lifetime(spark, sf):
+    """Every page is seen five times, in as many triggers; its domain is new again after 168 hours."""
+    step = F.lit(40) + F.lit(20) * (F.length(urls.domain_of("url")) % 5)
+    seen = table(spark, sf, "fx_pages").select(
+        "url", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")
+    ).select(
+        "url", "k",
+        (F.lit(CLOCK).cast("timestamp") + F.make_dt_interval(hours=(F.col("k") * step).cast("int"))).alias("seen_at"),
+    )
+    stream = _in_waves(seen, "k", storage.new_path(spark, "seen"), waves=5).drop("k")
+    taken = incremental.live_domains(stream, leads_table(spark, sf, "fx_prior"), late_hours=4 * vocab.CACHE_HOURS)
+    return _table_of(taken, spark, "live").select(
+        "domain", "url", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen_at")
+    )
+
+
 @query("stream_log_metrics", with_tables("fx_log", extra=_PARSED) + f"SELECT {_METRICS}")
 def stream_log_metrics(spark, sf):
     """Log lines read as a text stream; each starts with its time and id."""

@@ -143,15 +143,50 @@ def refreshed_results(
         F.unix_micros("fetched_at").alias("at"), F.explode("urls").alias("u"),
     ).select("query_key", "u.url", "u.title", "fetched_at", "at").filter("at IS NOT NULL")
 
+    return _once_per_lifetime(rows, ["query_key", "url"], "title", life).select(
+        "query_key", "url", "title", F.timestamp_micros("at").alias("fetched_at")
+    )
+
+
+def live_domains(
+    stream: DataFrame, prior: DataFrame, hours: int = vocab.CACHE_HOURS, late_hours: int | None = None
+) -> DataFrame:
+    """Domains not among the prior leads, each again once its lifetime is over.
+
+    *stream*: ``url, seen_at``.  As ``new_domains``, but a domain that was taken is
+    forgotten after *hours*, by the times of the rows: the state holds the domains
+    of the last *hours* only and does not grow with the age of the stream.  Rows
+    more than *late_hours* (the lifetime, by default) behind the latest are too late; of
+    the others, one that arrives in a later trigger than a younger row of its domain that
+    was taken is inside the lifetime of that row and not taken.  Rows without
+    a domain or a time take no part.
+    """
+    late = hours if late_hours is None else late_hours
+    known = prior.select(urls.domain_of("website").alias("domain")).filter("domain IS NOT NULL").distinct()
+    rows = stream.withWatermark("seen_at", f"{late} hours").select(
+        urls.domain_of("url").alias("domain"), "url", "seen_at", F.unix_micros("seen_at").alias("at")
+    ).filter("domain IS NOT NULL AND at IS NOT NULL").join(known, "domain", "left_anti")
+    return _once_per_lifetime(rows, ["domain"], "url", hours * 3_600_000_000).select(
+        "domain", "url", F.timestamp_micros("at").alias("seen_at")
+    )
+
+
+def _once_per_lifetime(rows: DataFrame, keys: list[str], value: str, life: int) -> DataFrame:
+    """The first row of each key and the first after every *life* (microseconds in ``at``).
+
+    Of rows at one time the smallest *value* is taken, a null one as the empty text.
+    The state of a key is one number; a timer drops it when the watermark passes its end.
+    """
+
     def take(key, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
         taken = []
-        for at, title in sorted((at, title or "") for b in batches for at, title in zip(b["at"], b["title"])):
+        for at, held in sorted((at, held or "") for b in batches for at, held in zip(b["at"], b[value])):
             if last is None or at >= last + life:
-                taken.append((*key, title, at))
+                taken.append((*key, held, at))
                 last = at
         over = (last + life) // 1000
         if over > state.getCurrentWatermarkMs():
@@ -159,11 +194,12 @@ def refreshed_results(
             state.setTimeoutTimestamp(over)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(taken, columns=["query_key", "url", "title", "at"])
+        yield pd.DataFrame(taken, columns=[*keys, value, "at"])
 
-    return rows.groupBy("query_key", "url").applyInPandasWithState(
-        take, "query_key string, url string, title string, at long", "last long", "append", "EventTimeTimeout"
-    ).select("query_key", "url", "title", F.timestamp_micros("at").alias("fetched_at"))
+    columns = ", ".join(f"{c} string" for c in [*keys, value])
+    return rows.groupBy(*keys).applyInPandasWithState(
+        take, f"{columns}, at long", "last long", "append", "EventTimeTimeout"
+    )
 
 
 def log_state(stream: DataFrame, order: Column) -> DataFrame:
