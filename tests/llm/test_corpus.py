@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -444,7 +445,16 @@ def test_pipeline(spark, tmp_path):
     fixtures.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     pieces = corpus_pipeline.run(spark, str(tmp_path)).withColumn("ids_crc32", F.crc32("ids")).collect()
 
-    docs = {i: t for i, t, *_ in rows if len((t or "").split()) >= 50}
+    texts = {(h or "", t or "") for _, t, _, h, _ in rows}  # equal texts of a host count once
+    of_host = Counter(h for h, _ in texts)
+    held = Counter((h, x) for h, t in texts for x in {" ".join(x.lower().split()) for x in t.split("\n")} - {""})
+    above = {(h, x) for (h, x), n in held.items() if n > 20 or (n >= 3 and n * 100 > of_host[h] * 5)}
+    assert above == {("s1", "new tail")}
+    docs = {}
+    for i, t, _, h, _ in rows:
+        kept = [x for x in (t or "").split("\n") if (h or "", " ".join(x.lower().split())) not in above]
+        if len((t or "").split()) >= 50 and 2 * sum(len(x.split()) for x in kept) >= len(t.split()):
+            docs[i] = "\n".join(kept)
     gone = gone_lines([(i, t) for i, t in docs.items()])
     left = {}
     for i, t in docs.items():
