@@ -114,7 +114,7 @@ def lead_json_scan(spark, sf):
     """The envelope document and the JSON-lines form of the same leads."""
     df = leads_table(spark, sf, "fx_leads")
     one, lines = storage.new_path(spark, "doc") + ".json", storage.new_path(spark, "rows") + ".jsonl"
-    writers.write_json(df, one, single_file=True)
+    writers.write_json(df, one, envelope=True)
     writers.write_json(df, lines)
     return _shown(readers.read_leads(spark, one)).unionByName(_shown(readers.read_leads(spark, lines)))
 

@@ -129,20 +129,72 @@ def read_lead_csv(
     return _defaults(rows.withColumns(split | {"website": trim_ws("website")}), now)
 
 
-def read_lead_json(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
-    """An earlier JSON export (envelope with ``leads``); stored scores are
-    ignored."""
-    schema = T.StructType([T.StructField("leads", T.ArrayType(LEAD))])
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
-    rows = docs.select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode("leads").alias("row", "lead")
+# How `writers.envelope_lines` lays out a document: opening, leads, closing.
+_OPENING = r'^\{"generated_at": "[^"\\\\]*", "lead_count": (\d+), "leads": \[$'
+_CLOSING = "]}"
+
+
+def _envelope_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """Leads of a document (one file, or ordered parts) with one lead per line.
+
+    None if the document is laid out in any other way or is not whole.  One pass
+    checks that: one opening line at the start, one closing line at the end, and
+    between them as many unbroken leads as announced, all but the first after a comma.
+    """
+    lines = spark.read.text(path).filter("value != ''").select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("_metadata.file_block_start").alias("start"),
     )
-    return _defaults(
-        rows.select(
-            "lead.*", F.struct("file", F.col("row").cast("bigint").alias("row")).alias("seq")
-        ),
-        now,
+    count = F.regexp_extract("value", _OPENING, 1)
+    is_lead = (count == "") & (F.col("value") != _CLOSING)
+    schema = T.StructType([*LEAD.fields, T.StructField("_broken", T.StringType())])
+    text = F.regexp_replace("value", r"^,(?=\{)", "")
+    lead = F.from_json(text, schema, {"columnNameOfCorruptRecord": "_broken"})
+    place = F.struct("file", "start", "row")
+    checked = lines.select(
+        place.alias("place"), "value", count.alias("count"), is_lead.alias("is_lead"),
+        F.startswith("value", F.lit(",")).alias("follows"),
+        F.when(is_lead, ~text.rlike(r"^\{.*\}$") | lead["_broken"].isNotNull()).alias("broken"),
+    )
+    seen = checked.agg(
+        F.count_if(F.col("count") != "").alias("openings"),
+        F.count_if(F.col("value") == _CLOSING).alias("closings"),
+        F.min_by("value", "place").alias("first"),
+        F.max_by("value", "place").alias("last"),
+        F.max("count").alias("announced"),
+        F.count_if("is_lead").alias("leads"),
+        F.count_if(F.col("is_lead") & ~F.col("follows")).alias("without_comma"),
+        F.min_by("follows", F.when(F.col("is_lead"), F.col("place"))).alias("first_follows"),
+        F.count_if("broken").alias("broken"),
+    ).withColumn("opens", F.col("first").rlike(_OPENING)).first()
+    whole = (
+        seen.openings == seen.closings == 1 and seen.opens and seen.last == _CLOSING and not seen.broken
+        and int(seen.announced) == seen.leads and seen.without_comma == min(seen.leads, 1)
+        and not seen.first_follows
     )
+    if not whole:
+        return None
+    return lines.filter(is_lead).select(lead.alias("lead"), "file", "row")
+
+
+def read_lead_json(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
+    """An earlier JSON export (envelope with ``leads``); stored scores are
+    ignored.
+
+    A document with a line per lead, as the writer makes it, is split and read by
+    many tasks; any other is read whole, a task for each file.
+    """
+    rows = _envelope_lines(spark, path)
+    if rows is None:
+        schema = T.StructType([T.StructField("leads", T.ArrayType(LEAD))])
+        docs = spark.read.schema(schema).option("multiLine", True).json(path)
+        rows = docs.select(
+            F.col("_metadata.file_path").alias("file"), F.posexplode("leads").alias("row", "lead")
+        )
+    columns = [F.col(f"lead.{c}").alias(c) for c in LEAD_COLUMNS]
+    place = F.struct("file", F.col("row").cast("bigint").alias("row")).alias("seq")
+    return _defaults(rows.select(*columns, place), now)
 
 
 def read_lead_lines(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
