@@ -50,6 +50,46 @@ def test_bpe_long_word_and_memo_restart(monkeypatch):
         assert CODEC.encode(t) == packed(library_ids(t))
 
 
+_LATIN_PARTS = ["'", "s", "t", "re", "ve", "m", "ll", "d", "'Re", "word", "É", "ß", "ŉ", "½", "7", "2024", " ", "\n", "\t", "!?", "…", "“x”", "–"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_LATIN_PARTS), max_size=12), max_size=5))
+def test_bpe_latin_words_are_those_of_the_pattern(parts):
+    texts = ["".join(p) for p in parts]
+    data, offsets, bounds = bpe.latin_words(texts)
+    words = [data[a:b].decode() for a, b in zip(offsets, offsets[1:])]
+    assert [words[a:b] for a, b in zip(bounds, bounds[1:])] == [bpe._WORD.findall(t.lower()) for t in texts]
+
+
+@pytest.mark.parametrize("group_chars, learn_words", [(1, 1), (200, 3), (1 << 20, 1 << 14)])
+def test_bpe_many_texts_at_once_keep_their_order(monkeypatch, group_chars, learn_words):
+    monkeypatch.setattr(bpe, "GROUP_CHARS", group_chars)
+    monkeypatch.setattr(bpe, "LEARN_WORDS", learn_words)
+    texts = ["plain words, they're 12", None, "中文 words", "a<|endoftext|>b<|x|>", "", "Élan ŉ…", "z" * 64 + " " + "z" * 65 + " Łódź",
+             "<|startoftext|>", "\x0b\x1cctl", "anqxzthe qx zx", "'s''s 'sam I'LL've", "ab" * 500, "endoftext <|endoftext"] * 2
+    codec = bpe.ForcedBoundaryBPE(bpe.read_spec(PATH))
+    assert codec.encode_all(texts) == [packed(library_ids(t)) for t in texts]
+    assert codec.encode_all(texts[::-1]) == [packed(library_ids(t)) for t in texts[::-1]]
+    assert codec.encode_all([]) == [] and codec.encode_all([None]) == [b""]
+
+
+def test_bpe_new_words_are_merged_together_without_the_library():
+    """A library call, with its offsets and strings, took most of the time of a new word."""
+    codec = bpe.ForcedBoundaryBPE(bpe.read_spec(PATH))
+    texts = [" ".join(f"{a}{b}{c}ou{a}n" for b in "bdfgklmnprst" for c in ("an", "ith", "é", "qx")) for a in ("st", "w", "tr", "ba")]
+    want = [packed(library_ids(t)) for t in texts]
+    codec._inner_model = codec._end_model = codec._library = None
+    assert codec.encode_all(texts) == want
+    # Two look-ups a round for each class of lengths, however many words there are.
+    codec._ids.clear()
+    rounds, rank = [], codec._rank
+    codec._rank = lambda left, right: rounds.append(len(left)) or rank(left, right)
+    assert codec.encode_all(texts) == want and 0 < len(rounds) <= 4 * 16
+    rounds.clear()
+    assert codec.encode_all(texts) == want and not rounds
+
+
 def test_bpe_table(spark):
     rows = fixtures.corpus() + [(3, "again", "en", "s", 5), (None, "no id", None, None, None)]
     df = bpe.encode(fixtures.clashing(fixtures.frame(spark, rows)), PATH, decoded=True)
