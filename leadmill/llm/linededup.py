@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill import storage
-from leadmill.llm.bpe import slices
+from leadmill.llm.bpe import map_texts, slices
 from leadmill.llm.hashing import BASE, U64, mixed, powers, word_hashes
 
 MIN_WORDS = 1
@@ -43,6 +43,8 @@ MIN_WORDS = 1
 NEAR_WORDS = 10
 #: Characters of texts that are hashed as one buffer.
 ROW_CHARS = 1 << 18
+#: Variants handed back to Spark at a time, but for those of a longer line.
+BATCH_KEYS = 1 << 16
 _TAG = U64(0xD6E8FEB86659FD93)
 #: What a line is to a key: one of several that differ at a place, the shorter line, one with a word more.
 _CHANGED, _OWN, _REMOVED = range(3)
@@ -137,7 +139,8 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, nea
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     names = ["doc_id", "line_no", "n_words", "line", "e0", "e1", "e2", "e3"]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return map_texts(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
         run,
         "doc_id long, line_no int, n_words int, line long, e0 long, e1 long, e2 long, e3 long",
     )
@@ -171,28 +174,36 @@ def _line_texts(with_lines: DataFrame) -> DataFrame:
                 [pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["line", "words"]
             )
 
-    return with_lines.select("text", "asked").mapInArrow(run, "line long, words string")
+    return map_texts(with_lines.select("text", "asked"), run, "line long, words string")
 
 
 def _variants(lines: DataFrame, near_words: int) -> DataFrame:
     """``variant, part, doc_id, line_no, line``: the deletion neighbourhood of each line."""
 
+    def made(parts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(c)) for c in zip(*parts)],
+            names=["variant", "part", "doc_id", "line_no", "line"],
+        )
+
     def run(batches):
         for batch in slices(batches):
-            parts = []
+            parts, size = [], 0
             columns = (batch.column(i).to_pylist() for i in range(5))
             for words, removals, doc, number, line in zip(*columns):
                 keys, kinds = deletion_keys(words, removals, near_words)
                 parts.append((keys.view(np.int64), kinds, np.full(len(keys), doc),
                               np.full(len(keys), number, np.int32), np.full(len(keys), line)))
+                size += len(keys)
+                if size >= BATCH_KEYS:
+                    yield made(parts)
+                    parts, size = [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*parts)],
-                    names=["variant", "part", "doc_id", "line_no", "line"],
-                )
+                yield made(parts)
 
-    return lines.select("words", "removals", "doc_id", "line_no", "line").mapInArrow(
-        run, "variant long, part byte, doc_id long, line_no int, line long"
+    return map_texts(
+        lines.select("words", "removals", "doc_id", "line_no", "line"), run,
+        "variant long, part byte, doc_id long, line_no int, line long",
     )
 
 
@@ -207,8 +218,9 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 [c.filter(mask) for c in batch.columns[2:]], names=["line", "kept_doc_id", "kept_line_no"]
             )
 
-    return pairs.select("words", "kept_words", "line", "kept_doc_id", "kept_line_no").mapInArrow(
-        run, "line long, kept_doc_id long, kept_line_no int"
+    return map_texts(
+        pairs.select("words", "kept_words", "line", "kept_doc_id", "kept_line_no"), run,
+        "line long, kept_doc_id long, kept_line_no int",
     )
 
 
@@ -316,7 +328,7 @@ def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield made.filter(pa.array(stays, pa.bool_()))
 
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left")
-    return joined.select(*(docs[c] for c in docs.columns), "_gone_lines").mapInArrow(run, schema)
+    return map_texts(joined.select(*(docs[c] for c in docs.columns), "_gone_lines"), run, schema)
 
 
 def _without(text: str, gone_lines: list[dict], min_words: int) -> str:

@@ -3,11 +3,13 @@
 import itertools
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ import __spark_entry__ as entry
 import compare
 import corpus_pipeline
 import fixtures
-from leadmill.llm import ann, chat, graph, linededup, neardup, quality, queries, toxicity
+from leadmill.llm import ann, bpe, chat, graph, linededup, neardup, quality, queries, toxicity
 
 NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -215,6 +217,41 @@ def test_line_dedup_repeated_rows_and_empty(spark):
     assert linededup.remove_lines(fixtures.frame(spark, [])).count() == 0
 
 
+def test_line_dedup_takes_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """Round 3, line_dedup: Spark's own batches of 10,000 rows or 64 MB fill memory outside the heap."""
+
+    def slices(batches):
+        for batch in batches:
+            (tmp_path / uuid.uuid4().hex).write_text(str(batch.nbytes))
+            yield batch
+
+    monkeypatch.setattr(linededup, "slices", slices)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    rng = random.Random(14)
+    line = fixtures.sentence(rng, 12)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(4000)) for _ in range(400)]
+    rows = [(i, f"{line}\n{text}", "en", "s", 0) for i, text in enumerate(own)]
+    left = {r.doc_id: r.text for r in linededup.remove_lines(fixtures.frame(spark, rows).coalesce(1)).collect()}
+    assert left == {i: text if i else rows[0][1] for i, text in enumerate(own)}
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) > 4 * bpe.BATCH_BYTES and max(sizes) < 1.5 * bpe.BATCH_BYTES
+
+
+def test_line_dedup_hands_back_variants_in_small_batches(spark, tmp_path, monkeypatch):
+    """Round 3, line_dedup: variants of 256 long lines were one batch."""
+    long = [(" ".join(f"{n}x{k}" for k in range(3000)), True, n, 0, n) for n in range(60)]
+    lines = spark.createDataFrame(long, "words string, removals boolean, doc_id long, line_no int, line long").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    monkeypatch.setattr(linededup, "map_texts", lambda rows, run, schema: rows.mapInArrow(lambda b: sizes(run(b)), "n long"))
+    got = [r.n for r in linededup._variants(lines, 10).collect()]
+    assert sum(got) == 60 * 6001 and max(got) < linededup.BATCH_KEYS + 6001
+
+
 def test_near_is_edit_distance():
     rng = random.Random(2)
     for _ in range(3000):
